@@ -56,8 +56,11 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return rule, action
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6) -> DataFrame:
-    """Rules (antecedent, confidence, support, key) for bad urls. labels: doc_id (a page_id), quality, toxic; bad: quality 0 or toxic 1."""
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
+    """Rules (antecedent, confidence, support, key) for bad urls. labels: doc_id (a page_id), quality, toxic; bad: quality 0 or toxic 1.
+
+    A rule needs the given support and at least ``least`` urls, so that few labels make no rules.
+    """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
     known = pages.select("page_id", "url").where("url IS NOT NULL").join(marks, "page_id")
@@ -65,7 +68,10 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence
     items = save(items, "transactions")
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items", numPartitions=parts).fit(items)
+    total = items.count()
+    if total < least:
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, key string")
+    model = FPGrowth(minSupport=max(support, least / total), minConfidence=confidence, itemsCol="items", numPartitions=parts).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = save(rules, "rules")
     # a rule is needless if a part of its antecedent makes a rule of no less confidence
