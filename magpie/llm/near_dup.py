@@ -7,7 +7,10 @@ probability 0.33, so in at least 4 of the 64 in all but about 5 in 100 million c
 * Equal sets are one class from the start and posted once.
 * A pair with 4 agreements has one among any 61 coordinates, so only in those lists do members meet the first
   of their list (prefix).
-* In each list, members are first compared with one of them only; full sets confirm each link.
+* What is a set's own, shingles that no other set in the lists has, bounds its similarity with any
+  other from above; pairs beyond the bound are never formed.
+* In each list, members are first compared with one of them only, that with the least of its own;
+  full sets confirm each link.
 * Members of the largest component of a list need no comparison with each other (skip). All other
   pairs of a list whose components differ are counted over the lists, and those with enough
   agreements are confirmed on full sets too. So no link between components is left out, however
@@ -97,6 +100,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(linked).select("a", "b")
 
 
+def _bounds(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, own) of the nodes that can have a link at all; own: shingles that no other node here has."""
+    once = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = once.groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.groupBy("node").agg(F.max(F.size("set")).cast("long").alias("size"))
+    out = sizes.join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    return out.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+
+
+def _possible(own: str, size: str, own2: str, size2: str, percent: int):
+    """Whether two sets can be similar enough, from what is each one's own."""
+    most = F.least(F.col(size) - F.col(own), F.col(size2) - F.col(own2))
+    return 100 * most >= percent * (F.col(size) + F.col(size2) - most)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of the edges (a, b); component: its smallest node.
 
@@ -136,24 +154,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = signed.join(classes.withColumn("doc_id", F.col("node")), ["s1", "s2", "doc_id"])
     prefix = COORDINATES - MATCHES + 1
     postings = reps.select("node", F.posexplode("sig").alias("coordinate", "key"))
-    lists = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = save(postings.join(lists, "key").select("key", "node", "pivot", "coordinate"), "postings")
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = save(postings.join(lists, "key", "left_semi"), "postings")
     release(spark)
-    star = save(shared.where(f"coordinate < {prefix} AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = save(_sets(docs.join(involved, "doc_id", "left_semi"), shingle), "sets", codec="lz4").distinct()
-    sets = save(sets, "sets", codec="lz4")
+    involved = shared.select(F.col("node").alias("doc_id")).distinct()
+    sets = save(_sets(docs.join(involved, "doc_id", "left_semi"), shingle), "sets", codec="lz4")
     release(spark)
+    shared = save(shared.join(_bounds(sets, percent), "node"), "postings")
+    # the first of a list is the member with the least of its own: others are likeliest to link with it
+    first = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("own").alias("pivot_own"), F.col("size").alias("pivot_size")), F.struct(F.col("own") / F.col("size") * -1, -F.col("node")))
+    star = shared.where(f"coordinate < {prefix}").join(shared.groupBy("key").agg(first.alias("f")).select("key", "f.*"), "key")
+    star = star.where(F.col("node") != F.col("pivot")).where(_possible("own", "size", "pivot_own", "pivot_size", percent))
+    star = save(star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     edges = save(_confirmed(star, sets, percent), "links")
     labels = save(components(edges), "labels")
     # the rest of each list: what lies outside its largest component, against all of it
-    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    named = save(named.distinct(), "named")
+    named = shared.join(labels, "node", "left").select("key", "node", "own", "size", F.coalesce("component", "node").alias("c"))
+    named = save(named, "named")
     sizes = named.groupBy("key", "c").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", F.col("c").alias("main"))).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", "x.main")
     mixed = save(named.join(main, "key"), "mixed")
-    rest = mixed.where("c <> main").select("key", F.col("node").alias("p"), F.col("c").alias("pc"))
-    cross = rest.join(mixed, "key").where("pc <> c AND (c = main OR p < node)")
+    rest = mixed.where("c <> main").select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("own").alias("p_own"), F.col("size").alias("p_size"))
+    cross = rest.join(mixed, "key").where("pc <> c AND (c = main OR p < node)").where(_possible("own", "size", "p_own", "p_size", percent))
     cross = cross.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).count()
     cross = cross.where(F.col("count") >= MATCHES).join(star, ["a", "b"], "left_anti").select("a", "b")
     more = save(_confirmed(cross, sets, percent), "links")
