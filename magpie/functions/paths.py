@@ -1,0 +1,133 @@
+"""Path, title and label functions as column expressions."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def normalise(p: Column) -> Column:
+    """Forward slashes, no trailing slash, lower case; null becomes empty."""
+    return F.lower(F.rtrim(F.replace(F.coalesce(p, F.lit("")), F.lit("\\"), F.lit("/")), F.lit("/")))
+
+
+def basename(p: Column) -> Column:
+    return F.substring_index(p, "/", -1)
+
+
+def dirname(p: Column) -> Column:
+    return F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+
+
+def stem(p: Column) -> Column:
+    return F.regexp_replace(basename(p), r"\.[^.]*$", "")
+
+
+def extension(p: Column) -> Column:
+    return F.lower(F.regexp_extract(basename(p), r"(\.[^.]*)$", 1))
+
+
+def is_page0(p: Column) -> Column:
+    return basename(p).rlike(r"(?i)(^|[-_])page0\.[a-z0-9]+$")
+
+
+def page_number(p: Column) -> Column:
+    return F.when(p.rlike(r"-page\d+\."), F.regexp_extract(p, r"-page(\d+)\.", 1).cast("int"))
+
+
+def remap(p: Column, prefixes: list[tuple[str, str]]) -> Column:
+    """The first prefix that fits is replaced."""
+    out = p
+    for old, new in reversed(prefixes):
+        out = F.when(p.startswith(old), F.concat(F.lit(new), F.substring(p, len(old) + 1, 1 << 30))).otherwise(out)
+    return out
+
+
+def swap_extension(p: Column, to: str) -> Column:
+    return F.regexp_replace(p, r"\.[^./]+$", to)
+
+
+def segment(p: Column, n: int) -> Column:
+    """n-th path part from 0; null beyond the end."""
+    return F.get(F.split(p, "/"), F.lit(n))
+
+
+def first_segments(p: Column, n: int) -> Column:
+    return F.lower(F.array_join(F.slice(F.split(p, "/"), 1, n), "/"))
+
+
+def drop_leading(p: Column, rules: dict[str, int]) -> Column:
+    """Drop so many leading parts if the path starts with a rule's first part; others stay."""
+    parts, out = F.split(p, "/"), p
+    for first, n in rules.items():
+        out = F.when(F.get(parts, F.lit(0)) == first, F.array_join(F.slice(parts, n + 1, 1 << 20), "/")).otherwise(out)
+    return out
+
+
+def label_by_substring(p: Column, names: list[tuple[str, str]], default: str) -> Column:
+    out = F.lit(default)
+    for part, name in reversed(names):
+        out = F.when(F.lower(p).contains(part), F.lit(name)).otherwise(out)
+    return out
+
+
+def natural_key(p: Column, width: int = 12) -> Column:
+    """Sorts digit runs by value: each is padded with zeros."""
+    parts = F.regexp_extract_all(F.lower(p), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, width, "0")).otherwise(x)), "")
+
+
+def chunk_number(p: Column) -> Column:
+    return F.regexp_extract(p, r"(\d+)", 1).cast("int")
+
+
+def title(p: Column, most: int = 100) -> Column:
+    """A file title without illegal characters and repeated blanks, cut at a word's end."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(p, r'[<>:"/\\|?*]', " "), r"\s+", " "))
+    return F.when(F.length(clean) <= most, clean).otherwise(F.rtrim(F.regexp_replace(F.substring(clean, 1, most), r"\s+\S*$", "")))
+
+
+def match_key(p: Column) -> Column:
+    """Equal for titles that differ only in quotes and case."""
+    return F.lower(F.translate(p, "'’‘`", ""))
+
+
+def apostrophes(p: Column) -> tuple[Column, Column]:
+    """The straight and the curly spelling, to look up one after the other."""
+    return F.translate(p, "’", "'"), F.translate(p, "'", "’")
+
+
+def starts_with_folder(name: Column, folder: Column) -> Column:
+    return F.startswith(F.lower(name), F.lower(folder))
+
+
+def expected_name(folder: Column, n: Column) -> Column:
+    return F.concat(folder, F.lit("-page"), n.cast("string"), F.lit(".jpg"))
+
+
+def stored_path(folder: Column, name: Column) -> Column:
+    return F.concat_ws("/", folder, F.concat(name, F.lit(".npz")))
+
+
+def face_source(face_id: Column) -> Column:
+    return F.regexp_replace(face_id, "_face_[^_]*$", "")
+
+
+def short_message(p: Column, most: int = 200) -> Column:
+    return F.left(p, F.lit(most))
+
+
+@F.pandas_udf("string")
+def ascii_fold(names: pd.Series) -> pd.Series:
+    """NFKD without marks, without characters illegal in names, single blanks."""
+
+    def fold(x):
+        if x is None:
+            return None
+        plain = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
+        return " ".join("".join(c for c in plain if c not in '<>:"/\\|?*').split())
+
+    return names.map(fold)
