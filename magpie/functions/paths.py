@@ -120,10 +120,7 @@ def short_message(p: Column, most: int = 200) -> Column:
     return F.left(p, F.lit(most))
 
 
-@F.pandas_udf("string")
-def ascii_fold(names: pd.Series) -> pd.Series:
-    """NFKD without marks, without characters illegal in names, single blanks."""
-
+def _fold(names: pd.Series) -> pd.Series:
     def fold(x):
         if x is None:
             return None
@@ -131,3 +128,8 @@ def ascii_fold(names: pd.Series) -> pd.Series:
         return " ".join("".join(c for c in plain if c not in '<>:"/\\|?*').split())
 
     return names.map(fold)
+
+
+def ascii_fold(name: Column) -> Column:
+    """NFKD without marks, without characters illegal in names, single blanks."""
+    return F.pandas_udf(_fold, "string")(name)

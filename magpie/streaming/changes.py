@@ -10,7 +10,8 @@ def reclassify(events: DataFrame, within: float = 0.5) -> DataFrame:
     """A delete whose name turns up in another category within so many seconds is a move. events: ts, kind, name, category."""
     gone = events.where("kind = 'delete'").withColumn("id", F.xxhash64("ts", "name", "category"))
     come = events.where("kind = 'create'").select("name", F.col("ts").alias("t2"), F.col("category").alias("new_category"))
-    gap = F.col("t2").cast("double") - F.col("ts").cast("double")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    gap = seconds("t2") - seconds("ts")
     moved = gone.join(come, "name").where((F.col("new_category") != F.col("category")) & (gap >= 0) & (gap <= within))
     w = Window.partitionBy("id").orderBy("t2", "new_category")
     moved = moved.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "new_category")
