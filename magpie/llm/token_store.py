@@ -29,6 +29,8 @@ from .tokens import encoder
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK = 8192
+_LIMITS = np.array([(1 << b) - 1 for b in BITS], np.uint64)
+_NEED = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64)).astype(np.uint8)
 SHARD_BYTES = 16 << 20
 HEAD = struct.Struct("<4sIIIQQ")
 
@@ -37,18 +39,17 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     """The words of one block. The first two selectors (runs of zeros) and all others pack greedily: as many ids as fit."""
     n = len(ids)
     x = ids.astype(np.uint64)
-    width = (x > 0).astype(np.int64)
-    for b in BITS[2:-1]:
-        width[(x >> np.uint64(b)) > 0] = b + 1
-    need = np.searchsorted(np.array(BITS), width, side="left")
+    # the least selector whose fields hold each id
+    need = _NEED[ids] if n and int(ids.max()) < len(_NEED) else np.searchsorted(_LIMITS, x).astype(np.uint8)
     # the first selector whose ids, from here on, all fit its fields
-    pick = np.full(n, 15, np.int8)
-    low = int(need.min()) if n else 15
-    for s in range(14, low - 1, -1):
-        good = np.zeros(n + 1, np.int32)
-        np.cumsum(need <= s, out=good[1:])
-        if n >= COUNTS[s] <= good[-1]:
-            pick[: n - COUNTS[s] + 1][good[COUNTS[s] :] - good[: n - COUNTS[s] + 1] == COUNTS[s]] = s
+    pick = np.full(n, 15, np.uint8)
+    for s in range(14, (int(need.min()) if n else 15) - 1, -1):
+        good, size = need <= s, 1
+        while size < COUNTS[s] and good.any():
+            step = min(size, COUNTS[s] - size)
+            good, size = good[:-step] & good[step:] if len(good) > step else good[:0], size + step
+        if size == COUNTS[s]:
+            pick[: len(good)][good] = s
     choice = pick.tolist()
     at, i = [], 0
     while i < n:
@@ -58,9 +59,10 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     chosen = np.array(choice, np.int64)[at] if n else at
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
-        mine = np.flatnonzero(chosen == s)
-        for k in range(COUNTS[s] if BITS[s] else 0):
-            words[mine] |= x[at[mine] + k] << np.uint64(k * BITS[s])
+        if BITS[s]:
+            mine = np.flatnonzero(chosen == s)
+            k = np.arange(COUNTS[s])
+            words[mine] |= np.bitwise_or.reduce(x[at[mine, None] + k] << (k * BITS[s]).astype(np.uint64), axis=1)
     return words
 
 
@@ -153,7 +155,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
     before = parts.select("partition", (F.sum("n").over(_upto("partition")) - F.col("n")).alias("before"))
     inside = shards.withColumn("inside", F.sum("n_tokens").over(_upto("shard", "partition")) - F.col("n_tokens"))
     placed = inside.join(before, "partition").select("file", "doc_ids", (F.col("before") + F.col("inside")).alias("base"), "n_docs")
-    spread = placed.repartition(F.col("file"))
+    # a count of its own: the rows are few, but each stands for a file
+    spread = placed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
