@@ -40,7 +40,7 @@ def tokens_of(url: Column) -> Column:
         F.transform(query, lambda x: F.concat(F.lit("query:"), F.split_part(x, F.lit("="), F.lit(1)))),
         F.array(F.concat(F.lit("end:"), F.regexp_extract(path, r"(\.\w+|/)\z", 1)), F.concat(F.lit("part:"), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)#(.*)\z", 1)), F.concat(F.lit("scheme:"), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(.*?)://", 1))),
     )
-    return F.array_distinct(named)
+    return F.array_distinct(F.filter(named, lambda x: ~x.endswith(":")))
 
 
 def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -56,10 +56,11 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return rule, action
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20, lift: float = 1.2) -> DataFrame:
     """Rules (antecedent, confidence, support, key) for bad urls. labels: doc_id (a page_id), quality, toxic; bad: quality 0 or toxic 1.
 
-    A rule needs the given support and at least ``least`` urls, so that few labels make no rules.
+    A rule needs the given support and at least ``least`` urls, so that few labels make no rules,
+    and has to tell more than the share of bad urls does (lift).
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
@@ -72,7 +73,7 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence
     if total < least:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, key string")
     model = FPGrowth(minSupport=max(support, least / total), minConfidence=confidence, itemsCol="items", numPartitions=parts).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = save(rules, "rules")
     # a rule is needless if a part of its antecedent makes a rule of no less confidence
     short = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("c"), F.explode("antecedent").alias("token"))
