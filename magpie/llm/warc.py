@@ -218,7 +218,9 @@ def read_warc(files: DataFrame, with_data: bool = True) -> DataFrame:
                     if rows:
                         yield out(rows)
 
-    return files.select("file").repartition("file").mapInArrow(run, CHUNKS)
+    # a count of its own: the rows are few, but each stands for a file
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").repartition(parts, "file").mapInArrow(run, CHUNKS)
 
 
 def archive(pages: DataFrame, path: str | None = None, with_data: bool = True) -> DataFrame:
