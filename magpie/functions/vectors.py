@@ -38,7 +38,7 @@ def padded(n: Column, step: int = 16) -> Column:
 
 
 def resize_factor(h: Column, w: Column, most: int) -> Column:
-    return F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(h, w))
+    return F.least(F.lit(1.0), F.try_divide(F.lit(float(most)), F.greatest(h, w)))
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column) -> Column:

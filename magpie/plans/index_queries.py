@@ -303,7 +303,7 @@ def json_meta(t):
     return t.events.select("event_id", fm.meta_int(F.col("props"), "k").alias("k"), fm.meta_int(F.col("props"), "none").cast("int").alias("none"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), 'spam') THEN 'spam' ELSE '/de/' END AS item FROM pages WHERE contains(lower(url), 'blog') OR contains(lower(url), 'spam') OR contains(lower(url), '/de/') UNION ALL SELECT -1, 'nowhere'")
+@query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), 'spam') THEN 'spam' ELSE '/de/' END AS item FROM pages WHERE contains(lower(url), 'blog') OR contains(lower(url), 'spam') OR contains(lower(url), '/de/') UNION ALL SELECT -1, item FROM (VALUES ('blog'), ('spam'), ('/de/'), ('nowhere')) AS t(item) WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(lower(url), item))")
 def substring_list_filter(t):
     """Which item of a list a path holds, and the items found nowhere."""
     items = ["blog", "spam", "/de/", "nowhere"]
