@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .store import fanout, save
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SENT = "kind string, bucket int, block long, payload binary"
 SENT_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
-def pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+def pack(x: object, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(x, protocol=5))
 
 
 def unpack(x: bytes) -> object:
@@ -44,13 +44,32 @@ class Block:
         self.ids, self.texts = ids, texts
 
     def packed(self) -> bytes:
-        return pack((self.ids, self.texts))
+        return pack((self.ids, self.texts), 6)  # read and moved several times
 
     @staticmethod
     def of(payload: bytes) -> Block:
         return Block(*unpack(payload))
 
 
+def _gaps(keys: np.ndarray) -> np.ndarray | tuple[int, np.ndarray]:
+    """Ascending keys of 48 bits (the lowest 16 are 0) as the first one and 32-bit gaps, where they fit."""
+    high = keys >> np.uint64(16)
+    gaps = np.diff(high)
+    if len(keys) and not (keys & np.uint64(0xFFFF)).any() and (not len(gaps) or int(gaps.max()) < 1 << 32):
+        return int(high[0]), gaps.astype(np.uint32)
+    return keys
+
+
+def _ungap(x: np.ndarray | tuple[int, np.ndarray]) -> np.ndarray:
+    if isinstance(x, tuple):
+        return np.cumsum(np.concatenate([np.array([x[0]], np.uint64), x[1].astype(np.uint64)]), dtype=np.uint64) << np.uint64(16)
+    return x
+
+
+#: Keys that only nominate candidates need no more than these bits.
+NOMINATE = np.uint64(0xFFFFFFFFFFFF0000)
+
+
 class Keys:
     """Distinct keys (64 bits, or 128 as two columns) in ascending order, with counts; inverse leads from what was given to them."""
 
@@ -70,7 +89,7 @@ class Keys:
 
     def messages(self, kind: str, block: int, buckets: int) -> Iterator[tuple[str, int, int, bytes]]:
         for k, a, b in spread(self.one, buckets):
-            yield kind, k, block, pack((self.one[a:b], None if self.two is None else self.two[a:b], self.count[a:b].astype(np.uint32)))
+            yield kind, k, block, pack((_gaps(self.one[a:b]), None if self.two is None else self.two[a:b], self.count[a:b].astype(np.uint32)))
 
 
 def spread(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -114,7 +133,7 @@ def resolve(messages: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        got = [unpack(x.as_py()) for x in table["payload"]]
+        got = [(_ungap(one), *rest) for one, *rest in (unpack(x.as_py()) for x in table["payload"])]
         one = np.concatenate([x[0] for x in got])
         two = np.concatenate([x[1] for x in got]) if got[0][1] is not None else None
         count = np.concatenate([x[2] for x in got]).astype(np.int64)

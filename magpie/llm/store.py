@@ -72,3 +72,13 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="magpie-ship-")
     sc.addPyFile(shutil.make_archive(f"{folder}/magpie_package", "zip", root, "magpie"))
     sc._magpie_shipped = True
+
+
+def discard(table: DataFrame, partition: str) -> None:
+    """Delete one partition (as in "kind = 'x'") of a table that save() wrote by a column, when no later step reads it."""
+    jvm = table.sparkSession.sparkContext._jvm
+    name = partition.replace(" ", "").replace("'", "")
+    for path in {f.rpartition("/")[0] for f in table.where(partition).inputFiles()}:
+        if path.endswith("/" + name):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

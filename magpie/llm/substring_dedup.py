@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import SENT, Block, Keys, meet, replies, resolve, scan, sent, unpack, pack
+from .blocks import NOMINATE, SENT, Block, Keys, meet, replies, resolve, scan, sent, unpack, pack
 from .hashing import Words, covered, fingerprint, runs
-from .store import fanout, release, save
+from .store import discard, fanout, release, save
 
 # Perfect difference sets, period -> residues whose differences are all residues.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -43,7 +43,7 @@ class Cover:
 def _anchors(block: Block, cover: Cover) -> tuple[list[Words], list[np.ndarray], Keys, Keys, np.ndarray]:
     words = [Words(t) for t in block.texts]
     at = [cover.at(w.n) for w in words]
-    keys = Keys(np.concatenate([np.zeros(0, np.uint64), *(w.windows(cover.size, at=a) for w, a in zip(words, at, strict=True) if len(a))]))
+    keys = Keys(np.concatenate([np.zeros(0, np.uint64), *(w.windows(cover.size, at=a) & NOMINATE for w, a in zip(words, at, strict=True) if len(a))]))
     long = np.array([k for k, w in enumerate(words) if w.n >= cover.window], np.int64)
     prints = np.array([fingerprint(words[k].data) for k in long], np.uint64).reshape(-1, 2)
     return words, at, keys, Keys(prints[:, 0], prints[:, 1]), long
@@ -123,6 +123,7 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     first = resolve(table.where("kind IN ('anchor', 'copy')"))
     found = save(meet(texts, first, lambda b, t, no: _candidates(b, t, no, cover, buckets), SENT), "windows", by="kind", codec="uncompressed")
     del first
+    discard(table, "kind = 'anchor'")
     release(spark)
     second = resolve(found.where("kind = 'window'")).unionByName(found.where("kind = 'state'"))
     return meet(texts, second, lambda b, t, no: _removed(b, t, window), SCHEMA)

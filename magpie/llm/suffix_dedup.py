@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import SENT, SENT_ARROW, Block, Keys, meet, pack, replies, resolve, scan, sent, spread, unpack
+from .blocks import NOMINATE, SENT, SENT_ARROW, Block, Keys, meet, pack, replies, resolve, scan, sent, spread, unpack
 from .hashing import Prefix, covered, fingerprint, runs
-from .store import fanout, release, save
+from .store import discard, fanout, release, save
 
 HOT = 256
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -182,7 +182,7 @@ class Names:
         if len(text) < window:
             self.of, self.own, self.times = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
             return
-        g = Prefix(self.data).windows(gram)
+        g = Prefix(self.data).windows(gram) & NOMINATE
         width, low, k = window - gram + 1, g, 1
         while 2 * k <= width:
             low = np.minimum(low[:-k], low[k:])
@@ -192,8 +192,8 @@ class Names:
         self.own = np.unique(self.of[edge])
         # how often the own names occur among the grams
         maybe = np.zeros(1 << 16, bool)
-        maybe[(self.own & np.uint64(0xFFFF)).astype(np.int64)] = True
-        some = g[maybe[(g & np.uint64(0xFFFF)).astype(np.int64)]]
+        maybe[(self.own >> np.uint64(48)).astype(np.int64)] = True
+        some = g[maybe[(g >> np.uint64(48)).astype(np.int64)]]
         k = np.minimum(np.searchsorted(self.own, some), len(self.own) - 1)
         self.times = np.bincount(k[self.own[k] == some], minlength=len(self.own))
 
@@ -355,6 +355,7 @@ def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int
     first = resolve(table.where("kind IN ('name', 'copy')"))
     found = save(meet(texts, first, lambda b, t, no: _pieces(b, t, no, window, gram, hot, buckets), SENT), "pieces", by="kind", codec="uncompressed")
     del first
+    discard(table, "kind = 'name'")
     release(spark)
     sorted_ = found.where("kind = 'piece'").groupBy("bucket").applyInArrow(lambda t: _sort(t, window), SENT)
     second = sorted_.unionByName(resolve(found.where("kind = 'window'"))).unionByName(found.where("kind = 'state'"))
