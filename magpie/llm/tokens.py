@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 800_000
+MEMO = 500_000
 BATCH = 256
 
 
