@@ -12,9 +12,13 @@ probability 0.33, so in at least 4 of the 64 in all but about 5 in 100 million c
 * In each list, members are first compared with one of them only, that with the least of its own;
   full sets confirm each link.
 * Members of the largest component of a list need no comparison with each other (skip). All other
-  pairs of a list whose components differ are counted over the lists, and those with enough
-  agreements are confirmed on full sets too. So no link between components is left out, however
-  long a list is, and a list of many near copies costs about its length.
+  pairs of a list whose components differ and whose parities allow a link are counted over the
+  lists, and those with enough agreements are confirmed on full sets too. So no link between
+  components is left out, however long a list is, and a list of many near copies costs about its
+  length.
+* Parities: a set has one bit for each of 512 ranges of hashes, whether it has an odd number of them
+  there. Two sets differ in at least as many shingles as they have unequal bits, so the bits bound
+  the similarity from above, and only pairs at or just below the threshold remain.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ _rng = np.random.default_rng(77)
 _A = (_rng.integers(0, 1 << 31, COORDINATES * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
 _B = _rng.integers(0, 1 << 32, COORDINATES * ROWS, dtype=np.uint32)
 _STEP = 192
+PARITY_BITS = 9
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -54,6 +59,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of hashes in each range of 2**PARITY_BITS, as bits of 64-bit words."""
+    odd = np.bincount((s >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
@@ -84,9 +95,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists([parities(x) for x in sets])], names=["node", "set", "parity"])
 
-    return docs.mapInArrow(run, "node long, set array<long>")
+    return docs.mapInArrow(run, "node long, set array<long>, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,6 +126,13 @@ def _possible(own: str, size: str, own2: str, size2: str, percent: int):
     return 100 * most >= percent * (F.col(size) + F.col(size2) - most)
 
 
+def _alike(parity: str, size: str, parity2: str, size2: str, percent: int):
+    """Whether two sets can be similar enough, from the ranges in which their parities differ."""
+    words = range(1 << PARITY_BITS - 6)
+    unequal = sum((F.bit_count(F.col(parity)[k].bitwiseXOR(F.col(parity2)[k])) for k in words), F.lit(0))
+    return (100 + percent) * unequal <= (100 - percent) * (F.col(size) + F.col(size2))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of the edges (a, b); component: its smallest node.
 
@@ -173,9 +191,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = save(named, "named")
     sizes = named.groupBy("key", "c").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", F.col("c").alias("main"))).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", "x.main")
-    mixed = save(named.join(main, "key"), "mixed")
-    rest = mixed.where("c <> main").select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("own").alias("p_own"), F.col("size").alias("p_size"))
+    mixed = save(named.join(main, "key").join(sets.select("node", "parity"), "node"), "mixed")
+    rest = mixed.where("c <> main").select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("own").alias("p_own"), F.col("size").alias("p_size"), F.col("parity").alias("p_parity"))
     cross = rest.join(mixed, "key").where("pc <> c AND (c = main OR p < node)").where(_possible("own", "size", "p_own", "p_size", percent))
+    cross = cross.where(_alike("parity", "size", "p_parity", "p_size", percent))
     cross = cross.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).count()
     cross = cross.where(F.col("count") >= MATCHES).join(star, ["a", "b"], "left_anti").select("a", "b")
     more = save(_confirmed(cross, sets, percent), "links")

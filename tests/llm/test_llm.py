@@ -96,6 +96,36 @@ def test_near_duplicates(odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    for n in (1, 5, 200, 3000):
+        a, b = (np.unique(rng.choice(pool, n)) for _ in "ab")
+        unequal = int(np.unpackbits((near_dup.parities(a) ^ near_dup.parities(b)).view(np.uint8)).sum())
+        assert unequal <= len(np.setxor1d(a, b)) and not (near_dup.parities(a) ^ near_dup.parities(a)).any()
+
+
+def test_near_copies_that_are_no_links(spark):
+    """A chain of links beside many copies just too different from everything: components as by brute force."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(i % 12):
+            w[r.randrange(150)] = f"x{i}_{r.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: set(near_dup.shingle_set(t.encode(), 4).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for a, b in combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert {x.doc_id: x.component_id for x in got} == root and 2 < len(set(root.values())) < 120
+
+
 def test_tokens_and_shards(odd, none, spark):
     from tokenizers import Tokenizer
 
