@@ -40,7 +40,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     length; texts without such strings are untouched. No document goes, even if its text is empty.
     """
     cut = repeated_bytes(docs, window=200).where("n_removed > 0 AND doc_id IS NOT NULL")
-    valid = F.expr("regexp_replace(validate_utf8_or(kept), '\\uFFFD', '')") if False else F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    valid = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     cut = save(cut.select(F.col("doc_id").alias("__id"), valid.alias("__kept")).dropDuplicates(["__id"]), "cut")
     out = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
     changed = F.col("__id").isNotNull()
