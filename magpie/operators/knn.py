@@ -13,6 +13,10 @@ from magpie.functions.vectors import dot
 
 #: Query vectors that one pass may hold; more are searched block by block.
 QUERY_BLOCK = 20_000
+#: Scores that one matrix product of a batch may hold.
+CELLS = 4_000_000
+#: Rounding of a matrix product depends on the place in it; candidates this close to the edge stay until they are scored alone.
+SLACK = 1e-9
 MATCH = "query_id long, kp long, chunk_no long, page_id long, vec_id long, score double"
 
 
@@ -27,6 +31,14 @@ def scores(queries: DataFrame, database: DataFrame) -> DataFrame:
     return database.crossJoin(F.broadcast(queries)).select("query_id", "kp", "chunk_no", "page_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
 
 
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (a[i], b[j]), each summed in the same order: equal vectors score equally, in both directions."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 10_000):
+        out[k : k + 10_000] = (a[i[k : k + 10_000]] * b[j[k : k + 10_000]]).sum(axis=1)
+    return out
+
+
 def _best(queries: DataFrame, database: DataFrame, k: int, floor: float | None) -> DataFrame:
     """Candidates of the top k, found with one matrix product per batch; queries are a bounded block."""
     rows = queries.select("query_id", "kp", "q").collect()
@@ -43,19 +55,23 @@ def _best(queries: DataFrame, database: DataFrame, k: int, floor: float | None)
             flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
             if not len(vec):
                 continue
-            product = m @ flat.reshape(len(vec), -1).T
-            for c in np.unique(chunk):
-                at = np.flatnonzero(chunk == c)
-                part = product[:, at]
-                if len(at) > k:
-                    edge = np.partition(part, len(at) - k, axis=1)[:, len(at) - k]
-                    keep = part >= edge[:, None]
-                else:
-                    keep = np.ones(part.shape, bool)
-                if floor is not None:
-                    keep &= part >= floor
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qs[i], pa.int64()), pa.array(kps[i], pa.int64()), pa.array(chunk[at[j]], pa.int64()), pa.array(page[at[j]], pa.int64()), pa.array(vec[at[j]], pa.int64()), pa.array(part[i, j])], names=["query_id", "kp", "chunk_no", "page_id", "vec_id", "score"])
+            x = flat.reshape(len(vec), -1)
+            step = max(1, CELLS // len(vec))
+            for first in range(0, len(m), step):
+                product = m[first : first + step] @ x.T
+                for c in np.unique(chunk):
+                    at = np.flatnonzero(chunk == c)
+                    part = product[:, at]
+                    if len(at) > k:
+                        edge = np.partition(part, len(at) - k, axis=1)[:, len(at) - k]
+                        keep = part >= edge[:, None] - SLACK
+                    else:
+                        keep = np.ones(part.shape, bool)
+                    if floor is not None:
+                        keep &= part >= floor - SLACK
+                    i, j = np.nonzero(keep)
+                    i, j = i + first, at[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(qs[i], pa.int64()), pa.array(kps[i], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(page[j], pa.int64()), pa.array(vec[j], pa.int64()), pa.array(_dots(m, x, i, j))], names=["query_id", "kp", "chunk_no", "page_id", "vec_id", "score"])
 
     side = database.select(*(F.col(c).cast("long") for c in ("chunk_no", "page_id", "vec_id")), F.col("v").cast("array<double>"))
     return side.mapInArrow(run, MATCH)
@@ -87,20 +103,29 @@ def nearest(query: DataFrame, database: DataFrame, k: int) -> DataFrame:
     return database.withColumn("score", dot(q, F.col("v"))).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def _first(left: DataFrame, lid: str, right: DataFrame, rid: str) -> DataFrame:
+    """The nearest right row of each left row; ties by rid."""
+    queries = left.select(F.lit(0).cast("long").alias("query_id"), F.col(lid).cast("long").alias("kp"), F.col("v").cast("array<double>").alias("q"))
+    side = right.select(F.lit(0).alias("chunk_no"), F.lit(0).alias("page_id"), F.col(rid).alias("vec_id"), "v")
+    return top_matches(queries, side, 1, None, "global").select(F.col("kp").alias(lid), F.col("vec_id").alias(rid), "score")
+
+
 def mutual(left: DataFrame, right: DataFrame, threshold: float, by_distance: bool = False) -> DataFrame:
     """Pairs that are each other's nearest, with the forward score at or above the threshold (lid, v) x (rid, v).
 
-    Each candidate's features are few; compare within a group column by giving both sides ``g``.
+    Both directions are searched in blocks of bounded size, so the sides may be whole tables. Few
+    features of many candidates are compared within a group column by giving both sides ``g``.
     """
-    keys = ["g"] if "g" in left.columns else []
-    pairs = left.withColumnRenamed("v", "lv").join(right.withColumnRenamed("v", "rv"), keys) if keys else left.withColumnRenamed("v", "lv").crossJoin(F.broadcast(right.withColumnRenamed("v", "rv")))
-    pairs = pairs.select(*keys, "lid", "rid", dot(F.col("lv"), F.col("rv")).alias("score"))
-    a = Window.partitionBy(*keys, "lid").orderBy(F.desc("score"), "rid")
-    b = Window.partitionBy(*keys, "rid").orderBy(F.desc("score"), "lid")
-    best = pairs.withColumn("a", F.row_number().over(a)).withColumn("b", F.row_number().over(b)).where("a = 1 AND b = 1")
+    if "g" in left.columns:
+        pairs = left.withColumnRenamed("v", "lv").join(right.withColumnRenamed("v", "rv"), "g").select("g", "lid", "rid", dot(F.col("lv"), F.col("rv")).alias("score"))
+        a = Window.partitionBy("g", "lid").orderBy(F.desc("score"), "rid")
+        b = Window.partitionBy("g", "rid").orderBy(F.desc("score"), "lid")
+        best = pairs.withColumn("a", F.row_number().over(a)).withColumn("b", F.row_number().over(b)).where("a = 1 AND b = 1").drop("a", "b")
+    else:
+        best = _first(left, "lid", right, "rid").join(_first(right, "rid", left, "lid").select("lid", "rid"), ["lid", "rid"])
     if by_distance:
-        return best.where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) <= (max(0.0, 2 - 2 * threshold)) ** 0.5).drop("a", "b")
-    return best.where(F.col("score") >= threshold).drop("a", "b")
+        return best.where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) <= (max(0.0, 2 - 2 * threshold)) ** 0.5)
+    return best.where(F.col("score") >= threshold)
 
 
 def exact_duplicates(vectors: DataFrame, least: float = 0.9999) -> DataFrame:
