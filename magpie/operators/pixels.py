@@ -57,12 +57,20 @@ def template(page: np.ndarray, patch: np.ndarray, scales=(0.5, 0.6, 0.7, 0.8, 0.
     return best
 
 
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Maps of several sets of points (sets x points x 2), without those that have no scale."""
+    one, none = np.ones(a.shape[:2]), np.zeros(a.shape[:2])
+    (x, y), (u, v) = (np.moveaxis(p, -1, 0) for p in (a, b))
+    odd = np.stack([x, y, one, none, none, none, -u * x, -u * y, -u], axis=-1)
+    even = np.stack([none, none, none, x, y, one, -v * x, -v * y, -v], axis=-1)
+    h = np.linalg.svd(np.stack([odd, even], axis=2).reshape(len(a), -1, 9))[2][:, -1].reshape(-1, 3, 3)
+    h = h[np.abs(h[:, 2, 2]) > 1e-12]
+    return h / h[:, 2:, 2:]
+
+
 def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    rows = []
-    for (x, y), (u, v) in zip(a, b, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    h = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    h = _fits(a[None], b[None])
+    return h[0] if len(h) else None
 
 
 def project(h: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -73,14 +81,14 @@ def project(h: np.ndarray, points: np.ndarray) -> np.ndarray:
 def homography(a: np.ndarray, b: np.ndarray, size: tuple[float, float], pixels: float = 8.0, rounds: int = 500, least: int = 8) -> dict:
     """A plane's map from point pairs by seeded random sampling: inliers and the box of the query's corners; with too few inliers the box of the points."""
     rng, best = np.random.default_rng(0), np.zeros(len(a), bool)
-    for _ in range(rounds if len(a) >= 4 else 0):
-        pick = rng.choice(len(a), 4, replace=False)
-        h = _fit(a[pick], b[pick])
-        if h is None:
-            continue
-        good = np.hypot(*(project(h, a) - b).T) <= pixels
-        if good.sum() > best.sum():
-            best = good
+    picks = np.array([rng.choice(len(a), 4, replace=False) for _ in range(rounds if len(a) >= 4 else 0)], int).reshape(-1, 4)
+    for k in range(0, len(picks), 50):
+        h = _fits(a[picks[k : k + 50]], b[picks[k : k + 50]])
+        p = np.c_[a, np.ones(len(a))] @ h.transpose(0, 2, 1)
+        p = p[..., :2] / np.where(np.abs(p[..., 2:]) < 1e-12, 1e-12, p[..., 2:]) - b
+        for good in np.hypot(p[..., 0], p[..., 1]) <= pixels:
+            if good.sum() > best.sum():
+                best = good
     if best.sum() >= max(4, least) and (h := _fit(a[best], b[best])) is not None:
         w, t = size
         points = project(h, np.array([[0, 0], [w, 0], [w, t], [0, t]], float))
@@ -111,4 +119,6 @@ def localise(candidates, schema: str = "query_id long, page_id long, inliers lon
         got = homography(frame[["ax", "ay"]].to_numpy(), frame[["bx", "by"]].to_numpy(), (frame.w.iloc[0], frame.h.iloc[0]))
         return pd.DataFrame([{"query_id": frame.query_id.iloc[0], "page_id": frame.page_id.iloc[0], **got}])
 
-    return candidates.groupBy("query_id", "page_id").applyInPandas(run, schema)
+    # few bytes but much work: a stated number of partitions is not put together again
+    dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "page_id")
+    return dealt.groupBy("query_id", "page_id").applyInPandas(run, schema)

@@ -418,13 +418,15 @@ def template_match(t):
                 rows.append((seed, best["score"], best["y"] == at[0] and best["x"] == at[1], pixels.blank(page)))
             yield pd.DataFrame(rows, columns=["page_id", "score", "found", "blank"])
 
-    return t.paths().select("page_id").where("page_id < 20").mapInPandas(run, "page_id long, score double, found boolean, blank boolean")
+    # few bytes but much work: a stated number of partitions is not put together again
+    pages = t.paths().select("page_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return pages.mapInPandas(run, "page_id long, score double, found boolean, blank boolean")
 
 
 @query()
 def homography_box(t):
     """Boxes from matched points with outliers."""
-    p = t.paths().where("page_id < 20").select(F.lit(0).cast("long").alias("query_id"), "page_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
+    p = t.paths().select(F.lit(0).cast("long").alias("query_id"), "page_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
     ax, ay = F.pmod(F.col("i") * 37, F.lit(100)).cast("double"), F.pmod(F.col("i") * 53, F.lit(80)).cast("double")
     off = F.when(F.col("i") % 5 == 0, F.pmod(F.col("i") * 91, F.lit(200))).otherwise(0)
     return pixels.localise(p.select("query_id", "page_id", ax.alias("ax"), ay.alias("ay"), (ax * 0.5 + F.col("page_id") + off).alias("bx"), (ay * 0.5 + 10 - off).alias("by"), F.lit(100.0).alias("w"), F.lit(80.0).alias("h")))

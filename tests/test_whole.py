@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from magpie.operators import knn
+from magpie.plans import registry
 from magpie.plans.fixtures import Tables
+from magpie.streaming import changes
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,3 +34,29 @@ def test_mutual_over_all_rows(t, monkeypatch, block):
     assert sorted((r.lid, r.rid) for r in got.collect()) == sorted(want) and want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_queue_over_all_events(t):
+    state = F.when(F.col("event_id") % 3 == 0, "queued").when(F.col("event_id") % 3 == 1, "done").otherwise("running")
+    # many jobs of one time
+    jobs = t.events.select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") < 4000, F.lit("2020-01-01").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("ts"), state.alias("state"))
+    rows = sorted(jobs.collect(), key=lambda r: (r.ts, r.job_id))
+    of = lambda s: [r.job_id for r in rows if r.state == s]
+    want = [(j, i + 1) for i, j in enumerate(of("queued"))] + [(j, None) for j in of("done")[-100:] + of("running")]
+    out = changes.queue(jobs)
+    assert out.columns == ["job_id", "ts", "state", "position"]
+    assert sorted((r.job_id, r.position or 0) for r in out.collect()) == sorted((j, p or 0) for j, p in want)
+    assert len(rows) == 10_000
+    # no window over the jobs by their state alone: those that are, go over counts of ranges
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    by_state = [x for x in plan.splitlines() if "Window" in x and "row_number" in x and "[state#" in x and "__r#" not in x]
+    assert not by_state
+
+
+def test_all_pages(spark, t):
+    pages = {r.page_id for r in t.paths().collect()}
+    found = registry.QUERIES["template_match"](spark, SF).collect()
+    assert {r.page_id for r in found} == pages and len(found) == len(pages) > 20 and all(r.found for r in found)
+    boxes = registry.QUERIES["homography_box"](spark, SF).collect()
+    assert {r.page_id for r in boxes} == pages and len(boxes) == len(pages)
+    assert all(r.inliers >= 32 and abs(r.x1 - r.page_id) < 1 and abs(r.y2 - 50) < 1 for r in boxes)
