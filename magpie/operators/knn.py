@@ -128,11 +128,53 @@ def mutual(left: DataFrame, right: DataFrame, threshold: float, by_distance: boo
     return best.where(F.col("score") >= threshold)
 
 
+def _earlier(vectors: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The nearest of a bounded block of heads before each row, at or above least; an equal one before all others."""
+    rows = heads.collect()
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.q for r in rows], float), np.array([r.head for r in rows], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, ids = shared.value
+        for batch in batches:
+            vec = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(vec):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            step = max(1, CELLS // len(vec))
+            for first in range(0, len(m), step):
+                i, j = np.nonzero(m[first : first + step] @ x.T >= least - SLACK)
+                i = i + first
+                i, j = (k[ids[i] < vec[j]] for k in (i, j))
+                score = _dots(m, x, i, j)
+                same = np.array([np.array_equal(m[a], x[b]) for a, b in zip(i, j, strict=True)], bool)
+                score[same] = np.inf
+                # one row a vector
+                order = np.lexsort((ids[i], -score, j))
+                order = order[score[order] >= least]
+                order = order[np.unique(j[order], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(vec[j[order]], pa.int64()), pa.array(ids[i[order]], pa.int64()), pa.array(score[order])], names=["vec_id", "head", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(run, "vec_id long, head long, score double")
+
+
 def exact_duplicates(vectors: DataFrame, least: float = 0.9999) -> DataFrame:
-    """Rows whose vector equals that of a row before them: equal vectors meet by their rounded values, the first claimant keeps the place.
+    """Rows (vec_id, v; unit vectors) with a vector before them of a score at or above least: the first claimant keeps the place.
+
+    first_id is the first of the equal vectors if there are any before, else the nearest earlier one
+    (ties to the smaller vec_id; it may have one before itself), else the row's own id. Every row is compared with
+    every distinct vector, in blocks of bounded size. Rows without a vector have no duplicate.
 
     Returns vec_id, first_id, duplicate.
     """
-    key = F.xxhash64(F.transform("v", lambda x: F.round(x, 4)))
-    w = Window.partitionBy("key").orderBy("vec_id")
-    return vectors.withColumn("key", key).select("vec_id", F.first("vec_id").over(w).alias("first_id")).withColumn("duplicate", F.col("vec_id") != F.col("first_id"))
+    held = vectors.where("v IS NOT NULL")
+    heads = held.groupBy(F.col("v").cast("array<double>").alias("q")).agg(F.min("vec_id").cast("long").alias("head"))
+    blocks = -(-heads.count() // QUERY_BLOCK)
+    found = None
+    for b in range(blocks):
+        part = _earlier(held, heads if blocks == 1 else heads.where(F.pmod(F.xxhash64("head"), F.lit(blocks)) == b), least)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.select("vec_id", F.col("vec_id").alias("first_id"), F.lit(False).alias("duplicate"))
+    best = found.groupBy("vec_id").agg(F.max_by("head", F.struct("score", -F.col("head"))).alias("head"))
+    out = vectors.select("vec_id").join(best, "vec_id", "left").withColumn("first_id", F.coalesce("head", "vec_id"))
+    return out.select("vec_id", "first_id", (F.col("vec_id") != F.col("first_id")).alias("duplicate"))

@@ -60,3 +60,27 @@ def test_all_pages(spark, t):
     boxes = registry.QUERIES["homography_box"](spark, SF).collect()
     assert {r.page_id for r in boxes} == pages and len(boxes) == len(pages)
     assert all(r.inliers >= 32 and abs(r.x1 - r.page_id) < 1 and abs(r.y2 - 50) < 1 for r in boxes)
+
+
+@pytest.mark.parametrize("block", [20_000, 100])
+def test_noisy_copies_are_duplicates(spark, t, monkeypatch, block):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", block)
+    monkeypatch.setattr(knn, "CELLS", 50_000)
+    rng = np.random.default_rng(2)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in t.embeddings.collect()]
+    for i, v in rows[:60:2]:
+        w = np.array(v) / np.linalg.norm(v) + rng.normal(0, 0.001, len(v))
+        rows.append((i + 10_000, (w / np.linalg.norm(w)).tolist()))  # a score of some 0.99997
+        far = np.array(v) / np.linalg.norm(v) + rng.normal(0, 0.004, len(v))
+        rows.append((i + 20_000, (far / np.linalg.norm(far)).tolist()))  # some 0.9995
+    rows += [(i + 30_000, v) for i, v in rows[:10]]
+    x = np.array([v for _, v in rows])
+    want = {}
+    for k, (i, v) in enumerate(rows):
+        s = (x[:k] * x[k]).sum(axis=1) if k else np.zeros(0)
+        s[[np.array_equal(y, v) for y in x[:k].tolist()]] = 2
+        want[i] = rows[int(s.argmax())][0] if k and s.max() >= 0.9999 else i
+    made = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    got = {r.vec_id: (r.first_id, r.duplicate) for r in knn.exact_duplicates(made).collect()}
+    assert got == {i: (j, i != j) for i, j in want.items()}
+    assert all(want[i] == i % 10_000 for i in want if i < 20_000 or i >= 30_000) and sum(i != j for i, j in want.items()) == 40
