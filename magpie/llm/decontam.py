@@ -4,12 +4,14 @@ Six fixed masks of six words each look at some words of a short span and ignore
 words of which at most 3 were replaced agree with the original under one of the masks at some
 place. Seeds of the benchmark are joined with those of the training texts; each hit gives a
 diagonal (place in the text minus place in the item), and the words along it are compared: 13
-words in a row with at least 10 equal ones are an overlap.
+words in a row with at least 10 equal ones are an overlap. Items under 11 words are shorter than
+what the masks need; they are hashed as a whole, with each allowed set of changed places left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,18 @@ from .store import save, ship
 # Word places that each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 4, 6, 9, 10), (0, 1, 5, 6, 8, 9), (0, 1, 2, 3, 5, 6))
 WINDOW, EQUAL = 13, 10
+
+
+def least_equal(size: int) -> int:
+    """Equal words that so many in a row need."""
+    return -(-EQUAL * size // WINDOW)
+
+
+#: Places that are kept of an item of so many words, one mask for each set that may be changed.
+SHORT = {n: tuple(combinations(range(n), least_equal(n))) for n in range(1, 11)}
+#: Masks by number; those of short items follow, from FIRST[words] on.
+EVERY = MASKS + tuple(m for n in SHORT for m in SHORT[n])
+FIRST = {n: len(MASKS) + sum(len(SHORT[k]) for k in range(1, n)) for n in SHORT}
 #: Benchmark words in one block of the query set; each block is one more step of the same job.
 BLOCK_WORDS = 1_000_000
 SPANS = "array<struct<item_id: long, start: long, end: long, equal: long>>"
@@ -38,7 +52,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def seeds(w: np.ndarray, mask: int) -> np.ndarray:
     """The hashes of one mask at all places of a word sequence."""
-    places = MASKS[mask]
+    places = EVERY[mask]
     n = len(w) - places[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -56,7 +70,17 @@ class SeedIndex:
         self.words = [word_hashes(t) for _, t in items]
         # a short item has to agree as a whole, with the same share of equal words
         self.size = [min(WINDOW, len(w)) for w in self.words]
-        parts = [(seeds(w, m), k) for k, w in enumerate(self.words) for m in range(len(MASKS)) if len(w) > MASKS[m][-1]]
+        parts, used = [], set()
+        for k, w in enumerate(self.words):
+            short = FIRST.get(len(w))
+            for m in range(len(MASKS)) if short is None else range(short, short + len(SHORT[len(w)])):
+                h = seeds(w, m)
+                if len(h):
+                    # a short item has one place
+                    parts.append((h if short is None else h[:1], k))
+                    used.add(m)
+        #: Masks that some item needs.
+        self.masks = sorted(used)
         hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
         owner = np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), k) for h, k in parts)])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h, _ in parts)])
@@ -68,7 +92,7 @@ class SeedIndex:
     def overlaps(self, w: np.ndarray) -> list[dict]:
         """Overlaps of a text's words with the items: item_id, word range, equal words in it."""
         diagonals: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
+        for m in self.masks:
             h = seeds(w, m)
             at = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)])
             if not len(at):
@@ -84,7 +108,7 @@ class SeedIndex:
                 continue
             equal = w[a:b] == item[a - d : b - d]
             sums = np.concatenate([[0], np.cumsum(equal)])
-            good = np.flatnonzero(sums[size:] - sums[:-size] >= -(-EQUAL * size // WINDOW))
+            good = np.flatnonzero(sums[size:] - sums[:-size] >= least_equal(size))
             for x, y in zip(*runs(covered(b - a, good, size)), strict=True):
                 found.append({"item_id": self.ids[k], "start": a + int(x), "end": a + int(y), "equal": int(sums[y] - sums[x])})
         return found
@@ -110,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     benchmark: item_id, text. Every item is searched in every document; the items are a stated
     query set, taken in blocks of bounded size, whose seeds each task gets. An overlap has 13 words
     in a row with at least 10 equal ones, or a shorter item's full length with the same share
-    (items below 8 words are too short for the masks and match nothing). Null and empty texts have
+    (below 5 words: all equal). Null and empty texts have
     no overlaps; repeated rows and items are treated alike, items of one id are all searched;
     an empty benchmark finds nothing; other columns are kept, whatever their names.
     """
