@@ -18,34 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import fanout, save
+from .store import fanout, save, ship
 from .tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]
 #: The linear program ends when a bound shows it to be within this part of its optimum.
 GAP = 3e-4
+#: Patterns taken from each dynamic program, and patterns kept for later steps.
+COLUMNS, POOL = 32, 2048
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of items (any number of each) within the capacity."""
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int, columns: int = 1) -> tuple[float, np.ndarray]:
+    """The value of the best multiset of items (any number of each) within the capacity, and the best multisets for so many capacities from there down, as columns."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     useful = np.flatnonzero(values > 1e-12)
     v, s = values[useful], sizes[useful]
+    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c], last[c] = best[c - 1], -1
-        k = np.searchsorted(s, c, side="right")
-        if k:
+        if k := fits[c]:
             got = v[:k] + best[c - s[:k]]
-            i = int(got.argmax())
+            i = got.argmax()
             if got[i] > best[c] + 1e-12:
                 best[c], last[c] = got[i], i
-    count, c = np.zeros(len(values)), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            count[useful[last[c]]] += 1
-            c -= int(s[last[c]])
+    count = np.zeros((len(values), columns))
+    for column in range(min(columns, capacity)):
+        c = capacity - column
+        while c > 0:
+            if last[c] < 0:
+                c -= 1
+            else:
+                count[useful[last[c]], column] += 1
+                c -= int(s[last[c]])
     return float(best[capacity]), count
 
 
@@ -76,19 +80,31 @@ def patterns(demand: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     # demands made unequal by a trifle: without ties no step of the simplex method is in vain
     d = d * (1 + 1e-6 * np.random.default_rng(1).random(m))
     x = (inverse * d).sum(axis=1)
-    for step in range(40 * m + 100):
+    pool, step, still, total = np.zeros((m, 0)), 0, 0, np.inf
+    while True:
         price = inverse.sum(axis=0)
-        value, column = knapsack(price, sizes, capacity)
-        if value <= 1 + GAP:
-            break
+        # columns found before are tried first: a product is cheaper than a dynamic program
+        worth = price @ pool
+        if len(worth) and worth.max() > 1 + GAP:
+            column = pool[:, worth.argmax()]
+        else:
+            # no pattern is worth more than value: the sum of x over value bounds the optimum from below
+            value, found = knapsack(price, sizes, capacity, COLUMNS)
+            if value <= 1 + GAP or x.sum() * (1 - 1 / value) < 0.5:
+                break
+            pool, column = np.hstack([pool[:, -POOL:], found]), found[:, 0]
         u = (inverse * column).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(u > 1e-9, x / u, np.inf)
         out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        # the simplex method goes on until the bound holds; only rounding errors could let it stand still
+        still = 0 if x.sum() < total * (1 - 1e-12) else still + 1
+        total = min(total, x.sum())
+        if still > 4 * m + 100 or not np.isfinite(ratio[out]):
             break
+        step += 1
         basis[:, out] = column
-        if step % 256 == 255:
+        if step % 256 == 0:
             inverse = _inverse(basis)
         else:
             row = inverse[out] / u[out]
@@ -151,6 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int =
     repeated rows are packed as often as they come; an empty table has no pieces.
     """
     spark = docs.sparkSession
+    ship(spark)
     pieces = save(token_pieces(docs, tokenizer, end, length), "pieces")
     classed = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     capacity = length // unit

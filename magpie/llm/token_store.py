@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import save, workdir
+from .store import save, ship, workdir
 from .tokens import encoder
 
 # Ids in a word and bits of each, by selector.
@@ -109,6 +109,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int) -> DataFr
     are ordered by their text; an empty table has no shards.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     ordered = docs.select(columns).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -150,6 +151,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int) -> DataFr
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Every document of the shards, from their files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit, little-endian)."""
+    ship(shards.sparkSession)
     parts = shards.groupBy("partition").agg(F.sum("n_tokens").alias("n"))
     # one row for each partition of the writer
     before = parts.select("partition", (F.sum("n").over(_upto("partition")) - F.col("n")).alias("before"))
