@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, workdir
+from .store import save, ship, workdir
 
 CHUNK = 256 << 10
 FILE_BYTES = 64 << 20
@@ -74,6 +74,7 @@ def write_warc(chunks: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z")
 
     Files are put in place by a rename, so a task that runs again leaves the same files.
     """
+    ship(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,6 +123,8 @@ class _Stream:
 
     def __init__(self, file, step: int = 1 << 20):
         self.file, self.step, self.unzip, self.raw, self.buffer = file, step, zlib.decompressobj(31), b"", bytearray()
+        #: Bytes handed out so far.
+        self.taken = 0
 
     def _more(self) -> bool:
         if self.unzip.eof:
@@ -142,15 +145,26 @@ class _Stream:
                 return b""
         out = bytes(self.buffer[:k])
         del self.buffer[: k + 2]
+        self.taken += k + 2
         return out
 
     def fields(self) -> dict[str, str]:
-        out = {}
+        """Header lines up to an empty one; a line that begins with a blank continues the one before it."""
+        out, key = {}, ""
         while line := self.line():
-            key, _, value = line.decode().partition(":")
-            out[key.strip().lower()] = value.strip()
+            text = line.decode(errors="replace")
+            if text[0] in " \t" and key:
+                out[key] += " " + text.strip()
+            else:
+                key, _, value = text.partition(":")
+                key = key.strip().lower()
+                out[key] = value.strip()
         return out
 
+    def skip(self, n: int) -> None:
+        while n:
+            n -= len(self.read(min(n, CHUNK)))
+
     def read(self, n: int) -> bytes:
         """n bytes, or fewer if the buffer has some but not as many."""
         while not self.buffer:
@@ -158,6 +172,7 @@ class _Stream:
                 raise EOFError("a record is cut off")
         out = bytes(self.buffer[:n])
         del self.buffer[: len(out)]
+        self.taken += len(out)
         return out
 
     def at_end(self) -> bool:
@@ -169,27 +184,40 @@ class _Stream:
 
 def _page(urn: str | None) -> int | None:
     digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(digits) if digits.removeprefix("-").isdigit() else None
+
+
+def _hex(digest: str | None) -> str | None:
+    """A SHA-1 digest in Base 32 as hexadecimal digits."""
+    if not (digest or "").lower().startswith("sha1:"):
+        return None
+    return base64.b32decode(digest[5:].upper()).hex()
 
 
 def _chunks(stream: _Stream, with_data: bool) -> Iterator[tuple]:
     while not stream.at_end():
         if not (version := stream.line()).startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {version[:40]!r}")
-        warc, before = stream.fields(), int
+        warc = stream.fields()
         left = int(warc["content-length"])
-        status = stream.line()
+        if warc.get("warc-type") not in ("response", "revisit") or not warc.get("content-type", "").startswith("application/http"):
+            stream.skip(left)
+            stream.line()
+            stream.line()
+            continue
+        before = stream.taken
+        stream.line()  # status
         http = stream.fields()
-        before = len(status) + 2 + sum(len(k) + len(v) + 4 for k, v in http.items()) + 2
-        left -= before
+        left -= stream.taken - before
         sha, size, no = hashlib.sha1(), 0, 0
-        digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
+        digest = _hex(warc.get("warc-payload-digest"))
+        full = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
         while True:
             data = stream.read(min(left, CHUNK)) if left else b""
             left -= len(data)
             size += len(data)
             sha.update(data)
-            yield _page(warc["warc-record-id"]), warc["warc-type"], _page(warc.get("warc-refers-to")), warc.get("warc-target-uri"), no, not left, size, sha.hexdigest(), int(http["content-length"]), digest, data if with_data else None
+            yield _page(warc["warc-record-id"]), warc["warc-type"], _page(warc.get("warc-refers-to")), warc.get("warc-target-uri"), no, not left, size, sha.hexdigest(), full, digest, data if with_data else None
             no += 1
             if not left:
                 break
@@ -198,7 +226,12 @@ def _chunks(stream: _Stream, with_data: bool) -> Iterator[tuple]:
 
 
 def read_warc(files: DataFrame, with_data: bool = True) -> DataFrame:
-    """Chunk rows of the archives: each has the count and the SHA-1 of the payload bytes so far; header_bytes and header_digest are those of the full payload, for revisits too."""
+    """Chunk rows of the archives: each has the count and the SHA-1 of the payload bytes so far; header_bytes and header_digest are those of the full payload, for revisits too.
+
+    Records that are neither a response nor a revisit, or have no HTTP block, are passed over;
+    header lines may be folded. header_bytes and header_digest are null where a record doesn't give them.
+    """
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,5 +264,6 @@ def archive(pages: DataFrame, path: str | None = None, with_data: bool = True) -
     largest page_id are each stored; a null or empty url leaves the record without a target; an
     empty table gives no archives and no rows.
     """
+    ship(pages.sparkSession)
     path = path or workdir(pages.sparkSession, "warc")
     return read_warc(write_warc(chunk_rows(records(pages)), path), with_data)
