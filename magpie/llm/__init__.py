@@ -1,4 +1,5 @@
 """Operators for preparing large training corpora (text, pages, tokens).
 
-Nothing outside this subpackage imports it; it only needs Spark, numpy and pyarrow.
+Nothing outside this subpackage imports it; it needs Spark, numpy, pyarrow, zstandard, tokenizers and a
+place of tokenizer vocabularies (public_tokenizers).
 """

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fanout, save
+from .store import fanout, save, text_bytes
 
 BLOCK_BYTES = 4 << 20
 SENT = "kind string, bucket int, block long, payload binary"
@@ -87,22 +87,30 @@ class Keys:
             self.one, self.two = a[new], b[new]
             self.count = np.diff(np.append(np.flatnonzero(new), len(a)))
 
-    def messages(self, kind: str, block: int, buckets: int) -> Iterator[tuple[str, int, int, bytes]]:
-        for k, a, b in spread(self.one, buckets):
+    def messages(self, kind: str, block: int, buckets: int, least_of: int = 1) -> Iterator[tuple[str, int, int, bytes]]:
+        for k, a, b in spread(self.one, buckets, least_of):
             yield kind, k, block, pack((_gaps(self.one[a:b]), None if self.two is None else self.two[a:b], self.count[a:b].astype(np.uint32)))
 
 
-def spread(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """Ascending keys by even ranges of their values: (range, first, last + 1)."""
-    to = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def spread(keys: np.ndarray, buckets: int, least_of: int = 1) -> list[tuple[int, int, int]]:
+    """Ascending keys by ranges that hold as many of them each: (range, first, last + 1).
+
+    least_of: each key is the least of so many hashes, which crowd at the lower end.
+    """
+    share = -np.expm1(least_of * np.log1p(-np.minimum(keys.astype(float) / 2.0**64, 1 - 2.0**-53)))
+    to = np.minimum((share * buckets).astype(np.int64), buckets - 1)
     cut = np.flatnonzero(np.diff(to)) + 1
     at = np.concatenate([[0], cut, [len(keys)]]).astype(int)
     return [(int(to[a]), a, b) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
 
 
-def scan(docs: DataFrame, send: Callable[[Block, int, int], Iterator[tuple]], name: str) -> DataFrame:
+def ranges(docs: DataFrame) -> int:
+    """Number of key ranges for a corpus, from the bytes of its texts."""
+    return fanout(docs.sparkSession, text_bytes(docs))
+
+
+def scan(docs: DataFrame, send: Callable[[Block, int, int], Iterator[tuple]], name: str, buckets: int) -> DataFrame:
     """Write blocks of docs (doc_id, text) and what send() has to say of each; one pass, no shuffle."""
-    buckets = fanout(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

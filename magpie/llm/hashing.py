@@ -1,34 +1,56 @@
-"""Polynomial prefix hashes over bytes (numpy, modulo 2**64).
-
-``Prefix`` gives the hash of any byte range of a text in constant time; equal ranges have equal
-hashes wherever they start. Two independent families make 128-bit fingerprints.
+"""Hashes of byte ranges, words and whole texts (numpy).
+
+* ``Modular`` gives the hash of any byte range of a text in constant time: polynomials modulo the
+  prime 2**61 - 1, so two different ranges of n bytes collide for at most n of the 2**61 multipliers,
+  whatever their structure. Two multipliers together decide whether windows are equal.
+* ``rolling`` hashes all windows of one size modulo 2**64. It is faster, but texts of a regular
+  structure can collide, so it only nominates candidates.
+* ``digest`` is BLAKE2b, for whole texts and sets.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _M = (1 << 64) - 1
+P61 = (1 << 61) - 1
+_P, _M30, _M31, _M32 = (np.uint64(x) for x in (P61, (1 << 30) - 1, (1 << 31) - 1, (1 << 32) - 1))
+_S29, _S30, _S31, _S32, _S61 = (np.uint64(x) for x in (29, 30, 31, 32, 61))
+#: Ranges of that many bytes or more are hashed by BLAKE2b; texts are taken in segments of so many.
+LONGEST = 1 << 20
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a x b modulo 2**61 - 1, of numbers below it."""
+    a0, a1, b0, b1 = a & _M31, a >> _S31, b & _M31, b >> _S31
+    low, mid = a0 * b0, a1 * b0 + a0 * b1
+    # 2**62 is 2, and 2**61 is 1
+    return _reduce(((a1 * b1) << np.uint64(1)) + (mid >> _S30) + ((mid & _M30) << _S31) + (low & _P) + (low >> _S61))
 
 
-class Family:
-    """One multiplier, its inverse and a random value for each byte; powers grow as needed."""
+class Powers:
+    """The powers of one multiplier and of its inverse, as many as were needed so far."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, _M, 256, dtype=np.uint64, endpoint=True)
-        self.r = int(rng.integers(1 << 58, 1 << 60)) * 8 + 5
-        self.inv = pow(self.r, -1, 1 << 64)
-        self.pow = np.ones(1, np.uint64)
-        self.ipow = np.ones(1, np.uint64)
+        r = int(np.random.default_rng(seed).integers(1 << 59, P61))
+        self.bases = (r, pow(r, -1, P61))
+        self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
-        if len(self.pow) <= n:
-            m = max(n + 1, 2 * len(self.pow), 1 << 16)
-            self.pow, self.ipow = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)]), dtype=np.uint64) for x in (self.r, self.inv))
+        while len(self.up) <= n:
+            m = len(self.up)
+            self.up, self.down = (np.concatenate([x, times(x, np.uint64(pow(base, m, P61)))]) for x, base in zip((self.up, self.down), self.bases, strict=True))
+            self.low, self.high = self.up & _M32, self.up >> _S32
 
 
-FAMILIES = (Family(1201), Family(3307))
+POWERS = (Powers(1201), Powers(3307))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,25 +62,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Prefix:
-    """Prefix sums of one text under one family."""
+class Modular:
+    """Hashes of byte ranges of one text under one multiplier, from prefix sums of the lower 32 bits of its powers and of the upper ones.
+
+    The sums may overflow; the difference over a range is exact, since it stays below 2**64. Texts
+    are taken in segments, so that the powers and sums of very long ones stay bounded.
+    """
 
     def __init__(self, data: np.ndarray, family: int = 0):
-        self.f = FAMILIES[family]
-        n = len(data)
-        self.f.grow(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.f.table[data] * self.f.pow[:n], out=self.sums[1:])
+        self.data, self.p = data, POWERS[family]
+        self.at, self.sums = -1, (data, data)
+
+    def _segment(self, k: int) -> None:
+        """Prefix sums of the k-th segment and the one after it, in which its ranges end."""
+        if self.at != k:
+            x = self.data[k * LONGEST : (k + 2) * LONGEST].astype(np.uint64) + np.uint64(1)
+            n = len(x)
+            self.p.grow(n)
+            self.at, self.sums = k, (np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64))
+            np.cumsum(x * self.p.low[:n], out=self.sums[0][1:])
+            np.cumsum(x * self.p.high[:n], out=self.sums[1][1:])
+
+    def _ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (_reduce(x[end] - x[start]) for x in self.sums)
+        whole = _reduce((((high << _S32) & _P) | (high >> _S29)) + low)
+        return mix(times(whole, self.p.down[start]))
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.f.ipow[start])
-
-    def windows(self, size: int) -> np.ndarray:
-        """Hashes of all byte windows of one size."""
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.f.ipow[:n])
+        if len(self.data) <= 2 * LONGEST and (not len(start) or int((end - start).max()) < LONGEST):
+            self._segment(0)
+            return self._ranges(start, end)
+        out = np.zeros(len(start), np.uint64)
+        long = end - start >= LONGEST
+        for k in np.unique(start[~long] // LONGEST):
+            mine = np.flatnonzero(~long & (start // LONGEST == k))
+            self._segment(int(k))
+            out[mine] = self._ranges(start[mine] - k * LONGEST, end[mine] - k * LONGEST)
+        for k in np.flatnonzero(long):
+            out[k] = digest(self.data[start[k] : end[k]].tobytes())[0]
+        return out
+
+
+_BYTES = np.random.default_rng(911).integers(0, _M, 256, dtype=np.uint64, endpoint=True)
+_ODD = 0x9E3779B97F4A7C15
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * LONGEST, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all byte windows of one size (at most ``LONGEST``), to nominate candidates."""
+    parts = []
+    for a in range(0, max(len(data) - size + 1, 0), LONGEST):
+        x = data[a : a + LONGEST + size - 1]
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTES[x] * _UP[: len(x)], out=sums[1:])
+        n = len(x) - size + 1
+        parts.append(mix((sums[size:] - sums[:n]) * _DOWN[:n]))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def digest(data: bytes) -> tuple[int, int]:
+    """128 bits of BLAKE2b, as two numbers."""
+    x = blake2b(data, digest_size=16).digest()
+    return int.from_bytes(x[:8], "little"), int.from_bytes(x[8:], "little")
 
 
 class Words:
@@ -81,13 +146,7 @@ class Words:
             return np.zeros(0, np.uint64)
         if at is None:
             at = np.arange(self.n - size + 1)
-        return Prefix(self.data, family).ranges(self.start[at], self.end[at + size - 1])
-
-
-def fingerprint(data: np.ndarray) -> tuple[int, int]:
-    """128 bits of a whole text."""
-    one, end = np.zeros(1, np.int64), np.full(1, len(data), np.int64)
-    return tuple(int(Prefix(data, k).ranges(one, end)[0]) ^ (len(data) * 0x9E3779B97F4A7C15 & _M) for k in (0, 1))
+        return Modular(self.data, family).ranges(self.start[at], self.end[at + size - 1])
 
 
 def covered(n: int, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:

@@ -15,7 +15,7 @@ probability 0.33, so in at least 4 of the 64 in all but about 5 in 100 million c
   pairs of a list whose components differ and whose parities allow a link are counted over the
   lists, and those with enough agreements are confirmed on full sets too. So no link between
   components is left out, however long a list is, and a list of many near copies costs about its
-  length.
+  length. Long lists are compared in blocks of ``SIDE`` members, so none meets in one task.
 * Parities: a set has one bit for each of 512 ranges of hashes, whether it has an odd number of them
   there. Two sets differ in at least as many shingles as they have unequal bits, so the bits bound
   the similarity from above, and only pairs at or just below the threshold remain.
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, mix
-from .store import release, save
+from .hashing import Words, digest, mix
+from .store import release, save, ship
 
 COORDINATES, ROWS, MATCHES = 64, 5, 4
+#: Members of a list that meet in one group.
+SIDE = 1000
 _rng = np.random.default_rng(77)
 _A = (_rng.integers(0, 1 << 31, COORDINATES * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
 _B = _rng.integers(0, 1 << 32, COORDINATES * ROWS, dtype=np.uint32)
@@ -83,8 +85,9 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             for text in _texts(batch):
                 s = shingle_set(text, size)
                 n.append(len(s))
-                one.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(11)))) if len(s) else 0)
-                two.append(int(mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64)) if len(s) else 0)
+                a, b = digest(s.tobytes())
+                one.append(a)
+                two.append(b)
                 signs.append(signature(s) if len(s) else s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), _lists(signs)], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
 
@@ -165,6 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     and kept (doc_id = component_id: one document of each group).
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = save(_signed(docs, shingle), "signatures", codec="lz4")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
@@ -190,10 +194,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = shared.join(labels, "node", "left").select("key", "node", "own", "size", F.coalesce("component", "node").alias("c"))
     named = save(named, "named")
     sizes = named.groupBy("key", "c").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", F.col("c").alias("main"))).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", "x.main")
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", F.col("c").alias("main"))).alias("x"), F.count("*").alias("parts"), F.sum("count").alias("n")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / SIDE).cast("int")
+    main = main.select("key", "x.main", blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("x.count")).alias("n_rest"))
     mixed = save(named.join(main, "key").join(sets.select("node", "parity"), "node"), "mixed")
-    rest = mixed.where("c <> main").select("key", F.col("node").alias("p"), F.col("c").alias("pc"), F.col("own").alias("p_own"), F.col("size").alias("p_size"), F.col("parity").alias("p_parity"))
-    cross = rest.join(mixed, "key").where("pc <> c AND (c = main OR p < node)").where(_possible("own", "size", "p_own", "p_size", percent))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = mixed.where("c <> main").select("key", deal("n_rest").alias("i"), every("n_all").alias("j"), F.col("node").alias("p"), F.col("c").alias("pc"), F.col("own").alias("p_own"), F.col("size").alias("p_size"), F.col("parity").alias("p_parity"))
+    whole = mixed.select("key", every("n_rest").alias("i"), deal("n_all").alias("j"), "node", "c", "main", "own", "size", "parity")
+    cross = rest.join(whole, ["key", "i", "j"]).where("pc <> c AND (c = main OR p < node)").where(_possible("own", "size", "p_own", "p_size", percent))
     cross = cross.where(_alike("parity", "size", "p_parity", "p_size", percent))
     cross = cross.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).count()
     cross = cross.where(F.col("count") >= MATCHES).join(star, ["a", "b"], "left_anti").select("a", "b")

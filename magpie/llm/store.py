@@ -2,27 +2,37 @@
 
 Intermediate results that several jobs read are written below ``spark.checkpoint.dir``, the one
 folder that driver and executors share, and read back: this cuts lineage and survives lost
-executors. The folder is only chosen here when the session has none (tests).
+executors. The folder is only chosen here when a local session has none (tests).
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of text for one key range of an exchange.
+RANGE_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh temporary one is set if none is configured."""
-    ship(spark)
+    """The session's checkpoint folder. Without one a local session gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         option = sc._jsc.sc().getCheckpointDir()
         if option.isEmpty():
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="magpie-"))
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="magpie-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir("file://" + folder)
             option = sc._jsc.sc().getCheckpointDir()
         root = option.get()
     return root.rstrip("/")
@@ -55,21 +65,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def fanout(spark: SparkSession) -> int:
-    """Number of key ranges for an exchange: some per shuffle partition, so that they even out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fanout(spark: SparkSession, size: int = 0) -> int:
+    """Number of key ranges for an exchange over so many bytes of text: some per shuffle partition, so that they even out, and more for more text."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of a column of texts, over all rows."""
+    return docs.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it as long as one of the frames has such a column."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python can import it."""
-    import os
-    import shutil
+    """Send this package to the executors, once per application, so that their Python can import it.
 
+    A Python function of Spark keeps the list of files of the moment it is made, so every public
+    operator calls this first.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_magpie_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = tempfile.mkdtemp(prefix="magpie-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(f"{folder}/magpie_package", "zip", root, "magpie"))
     sc._magpie_shipped = True
 

@@ -3,7 +3,8 @@
 Only windows at word positions p with p mod 21 in a perfect difference set are hashed first
 (5 of 21). For any two positions i, j there is a shift below 21 that brings both onto the cover,
 so two equal windows of 35 words share an aligned anchor of 15 words. Anchors that occur twice in
-the corpus are extended to the windows around them, whose 128-bit fingerprints decide.
+the corpus are extended to the windows around them. Those are compared over the corpus by two
+polynomials modulo the prime 2**61 - 1 (122 bits), whole texts by 128 bits of BLAKE2b.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import NOMINATE, SENT, Block, Keys, meet, replies, resolve, scan, sent, unpack, pack
-from .hashing import Words, covered, fingerprint, runs
-from .store import discard, fanout, release, save
+from .blocks import NOMINATE, SENT, Block, Keys, meet, pack, ranges, replies, resolve, scan, sent, unpack
+from .hashing import Words, covered, digest, runs
+from .store import discard, release, save, ship
 
 # Perfect difference sets, period -> residues whose differences are all residues.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -45,7 +46,7 @@ def _anchors(block: Block, cover: Cover) -> tuple[list[Words], list[np.ndarray],
     at = [cover.at(w.n) for w in words]
     keys = Keys(np.concatenate([np.zeros(0, np.uint64), *(w.windows(cover.size, at=a) & NOMINATE for w, a in zip(words, at, strict=True) if len(a))]))
     long = np.array([k for k, w in enumerate(words) if w.n >= cover.window], np.int64)
-    prints = np.array([fingerprint(words[k].data) for k in long], np.uint64).reshape(-1, 2)
+    prints = np.array([digest(words[k].text) for k in long], np.uint64).reshape(-1, 2)
     return words, at, keys, Keys(prints[:, 0], prints[:, 1]), long
 
 
@@ -111,14 +112,15 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     words if they have a window; a null doc_id stays null; an empty table gives an empty result.
     """
     spark, cover = docs.sparkSession, Cover(window)
-    buckets = fanout(spark)
+    ship(spark)
+    buckets = ranges(docs)
 
     def send(block: Block, no: int, buckets: int):
         _, _, keys, copies, _ = _anchors(block, cover)
         yield from keys.messages("anchor", no, buckets)
         yield from copies.messages("copy", no, buckets)
 
-    table = scan(docs, send, "substring")
+    table = scan(docs, send, "substring", buckets)
     texts = table.where("kind = 'text'")
     first = resolve(table.where("kind IN ('anchor', 'copy')"))
     found = save(meet(texts, first, lambda b, t, no: _candidates(b, t, no, cover, buckets), SENT), "windows", by="kind", codec="uncompressed")

@@ -2,12 +2,14 @@
 
 1. Each window of 200 bytes is named by the smallest hash of the 40-byte strings in it, so equal
    windows have equal names. Names that occur once in the corpus can hold no repeated window.
-2. Windows of one name in a row make a piece of text; distinct pieces go to the range of their name.
-3. There a suffix array of the pieces is built: suffixes smaller than their successors are sorted
+2. A name that is in more than ``HOT`` places is split: of its windows, those whose own hash occurs
+   once are left out, the others get a second name, from strings of 160 bytes.
+3. Windows of one name in a row make a piece of text; distinct pieces go to the range of their name.
+4. There a suffix array of the pieces is built: suffixes smaller than their successors are sorted
    directly, the others are induced by bucket scans. Adjacent common prefixes of 200 bytes mark
-   the repeated windows.
-4. A name that is in more than ``HOT`` places does not meet in one task: its windows are
-   compared by 128-bit fingerprints, dealt out evenly.
+   the repeated windows. Hashes only nominate; bytes are compared.
+
+Texts that are equal as a whole (128 bits of BLAKE2b) are sorted once, and equal pieces too.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import NOMINATE, SENT, SENT_ARROW, Block, Keys, meet, pack, replies, resolve, scan, sent, spread, unpack
-from .hashing import Prefix, covered, fingerprint, runs
-from .store import discard, fanout, release, save
+from .blocks import NOMINATE, SENT, SENT_ARROW, Block, Keys, meet, pack, ranges, replies, resolve, scan, sent, spread, unpack
+from .hashing import covered, digest, rolling, runs
+from .store import discard, release, save, ship
 
 HOT = 256
 CHUNK = 1 << 19
+NONE = pa.Table.from_batches([], schema=SENT_ARROW)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -174,6 +177,15 @@ def repeated_starts(pieces: list[bytes], size: int) -> list[np.ndarray]:
 # --- names and pieces -----------------------------------------------------------------------
 
 
+def _least(g: np.ndarray, width: int) -> np.ndarray:
+    """The least of each so many numbers in a row."""
+    low, k = g, 1
+    while 2 * k <= width:
+        low = np.minimum(low[:-k], low[k:])
+        k *= 2
+    return np.minimum(low[: len(low) - (width - k)], low[width - k :]) if width > k else low
+
+
 class Names:
     """The name of each window of a text: the least hash of the grams in it."""
 
@@ -182,12 +194,8 @@ class Names:
         if len(text) < window:
             self.of, self.own, self.times = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
             return
-        g = Prefix(self.data).windows(gram) & NOMINATE
-        width, low, k = window - gram + 1, g, 1
-        while 2 * k <= width:
-            low = np.minimum(low[:-k], low[k:])
-            k *= 2
-        self.of = np.minimum(low[: len(low) - (width - k)], low[width - k :]) if width > k else low
+        g = rolling(self.data, gram) & NOMINATE
+        self.of = _least(g, window - gram + 1)
         edge = np.concatenate([[True], self.of[1:] != self.of[:-1]])
         self.own = np.unique(self.of[edge])
         # how often the own names occur among the grams
@@ -205,12 +213,23 @@ def _names(block: Block, window: int, gram: int) -> tuple[Keys, np.ndarray, Keys
     times = np.concatenate([np.zeros(0, np.int64), *(x.times for x in names)])
     keys.count = np.bincount(keys.inverse, times, len(keys.one)).astype(np.int64)
     long = np.array([k for k, t in enumerate(block.texts) if len(t) >= window], np.int64)
-    prints = np.array([fingerprint(names[k].data) for k in long], np.uint64).reshape(-1, 2)
+    prints = np.array([digest(block.texts[k]) for k in long], np.uint64).reshape(-1, 2)
     for x in names:
         x.of = None  # made again when needed: whole blocks of window names are large
     return keys, times, Keys(prints[:, 0], prints[:, 1]), long, names
 
 
+def _piece_messages(found: dict[tuple[int, bytes], list[int]], kind: str, no: int, buckets: int, least_of: int) -> tuple[np.ndarray, list[tuple]]:
+    """Pieces in the order of their names, by ranges; and the rank of each. found: (name, text) to [number, count]."""
+    name = np.fromiter((x[0] for x in found), np.uint64, len(found))
+    order = np.argsort(name, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    text, count = [x[1] for x in found], [x[1] for x in found.values()]
+    rows = [(kind, k, no, pack((name[order[a:b]], [text[i] for i in order[a:b]], [count[i] for i in order[a:b]]))) for k, a, b in spread(name[order], buckets, least_of)]
+    return rank, rows
+
+
 def _pieces(block: Block, answers: pa.Table, no: int, window: int, gram: int, most: int, buckets: int) -> pa.Table:
     keys, _, copies, long, names = _names(block, window, gram)
     total, copied = (replies(answers, "name") >> 1).astype(np.int64), replies(answers, "copy")
@@ -219,8 +238,10 @@ def _pieces(block: Block, answers: pa.Table, no: int, window: int, gram: int, mo
         n_copies[k] = copied[x] >> 1
         first[k] = bool(copied[x] & 1) and x not in seen
         seen.add(x)
-    done, found, ones, twos, hot = 0, {}, [], [], []
+    done, found = 0, {}
     where: list[tuple[int, int, int, int]] = []
+    hot: list[tuple[int, int, bytes]] = []
+    nominated: list[np.ndarray] = []
     for k, (x, text) in enumerate(zip(names, block.texts, strict=True)):
         mine = keys.inverse[done : done + len(x.own)]
         done += len(x.own)
@@ -234,37 +255,54 @@ def _pieces(block: Block, answers: pa.Table, no: int, window: int, gram: int, mo
         of = Names(text, window, gram).of
         edge = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
         which = np.searchsorted(x.own, of[edge[:-1]])
+        crowded = np.zeros(len(of) + 1, np.int64)
         for a, b, w in zip(edge[:-1], edge[1:], which, strict=True):
             if shared[w]:
                 if all_[w] > most:
-                    hot.append((k, a, b))
+                    crowded[a:b] = 1
                 else:
                     key = (int(x.own[w]), text[a : b + window - 1])
                     where.append((k, int(a), found.setdefault(key, [len(found), 0])[0], int(b - a)))
                     found[key][1] += 1
-        mine_hot = [(a, b) for i, a, b in reversed(hot) if i == k][::-1] if hot and hot[-1][0] == k else []
-        if mine_hot:
-            at = np.concatenate([np.arange(a, b) for a, b in mine_hot])
-            ones.append(Prefix(x.data, 0).ranges(at, at + window))
-            twos.append(Prefix(x.data, 1).ranges(at, at + window))
-    none = np.zeros(0, np.uint64)
-    prints = Keys(np.concatenate([none, *ones]), np.concatenate([none, *twos]))
-    # pieces in the order of their names
-    name = np.fromiter((x[0] for x in found), np.uint64, len(found))
-    order = np.argsort(name, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    text, count = [x[1] for x in found], [x[1] for x in found.values()]
-    state = [(k, a, int(rank[p]), n) for k, a, p, n in where], hot, prints.inverse.astype(np.int32), n_copies > 1
-    rows = [("state", 0, no, pack(state)), *prints.messages("window", no, buckets)]
-    for k, a, b in spread(name[order], buckets):
-        rows.append(("piece", k, no, pack((name[order[a:b]], [text[i] for i in order[a:b]], [count[i] for i in order[a:b]]))))
+        for a, b in zip(*runs(crowded > 0), strict=True):
+            part = text[a : b + window - 1]
+            hot.append((k, int(a), part))
+            nominated.append(rolling(np.frombuffer(part, np.uint8), window) & NOMINATE)
+    prints = Keys(np.concatenate([np.zeros(0, np.uint64), *nominated]))
+    rank, rows = _piece_messages(found, "piece", no, buckets, window - gram + 1)
+    state = [(k, a, int(rank[p]), n) for k, a, p, n in where], n_copies > 1
+    rows += [("state", 0, no, pack(state)), *prints.messages("window", no, buckets)]
+    if hot:
+        rows.append(("hot", 0, no, pack((hot, prints.inverse.astype(np.int32)))))
     return pa.Table.from_batches([sent(rows)])
 
 
+def _split(table: pa.Table, answers: pa.Table, window: int, gram: int, buckets: int) -> pa.Table:
+    """The windows of hot names that can be repeated, as pieces by their second names."""
+    no = table["block"][0].as_py()
+    hot, inverse = unpack(table["payload"][0].as_py())
+    twice = (replies(answers, "window") >> 1) >= 2
+    found, where, done = {}, [], 0
+    for k, at, part in hot:
+        n = len(part) - window + 1
+        live = twice[inverse[done : done + n]]
+        done += n
+        if not live.any():
+            continue
+        of = _least(rolling(np.frombuffer(part, np.uint8), gram) & NOMINATE, window - gram + 1)
+        for a, b in zip(*runs(live), strict=True):
+            edge = [a, *(np.flatnonzero(of[a + 1 : b] != of[a : b - 1]) + a + 1), b]
+            for c, d in zip(edge[:-1], edge[1:], strict=True):
+                key = (int(of[c]), part[c : d + window - 1])
+                where.append((k, at + int(c), found.setdefault(key, [len(found), 0])[0], int(d - c)))
+                found[key][1] += 1
+    rank, rows = _piece_messages(found, "hotpiece", no, buckets, window - gram + 1)
+    return pa.Table.from_batches([sent([*rows, ("hotstate", 0, no, pack([(k, a, int(rank[p]), n) for k, a, p, n in where]))])])
+
+
 def _sort(table: pa.Table, window: int) -> pa.Table:
     """The pieces of some names: which of their windows are repeated, packed by piece."""
-    table = table.sort_by("block")
+    table = table.sort_by([("block", "ascending"), ("kind", "ascending")])
     got = [unpack(x.as_py()) for x in table["payload"]]
     marks: dict[tuple[int, bytes], np.ndarray | bool] = {}
     times: dict[tuple[int, bytes], int] = {}
@@ -299,38 +337,31 @@ def _sort(table: pa.Table, window: int) -> pa.Table:
 
 
 def _removed(block: Block, answers: pa.Table, window: int) -> pa.Table:
+    kinds = set(answers["kind"].to_pylist())
+
     def of(kind: str) -> list:
         return [unpack(x.as_py()) for x in answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("bucket")["payload"]]
 
-    where, hot, inverse, copy = of("state")[0]
-    marks = [m for part in of("piece") for m in part]
-    twice = (replies(answers, "window") >> 1) >= 2
+    where, copy = of("state")[0]
     starts: dict[int, list[np.ndarray]] = {}
-    sizes: dict[int, list[np.ndarray]] = {}
-    done = 0
-    for k, a, b in hot:
-        hit = twice[inverse[done : done + b - a]]
-        done += b - a
-        starts.setdefault(k, []).append(a + np.flatnonzero(hit))
-        sizes.setdefault(k, []).append(np.full(int(hit.sum()), window, np.int64))
-    for k, a, p, n in where:
-        at = np.arange(n) if marks[p] is True else np.flatnonzero(np.unpackbits(marks[p], count=n))
-        starts.setdefault(k, []).append(a + at)
-        sizes.setdefault(k, []).append(np.full(len(at), window, np.int64))
+    for places, kind in ((where, "piece"), (of("hotstate")[0] if "hotstate" in kinds else [], "hotpiece")):
+        marks = [m for part in of(kind) for m in part]
+        for k, a, p, n in places:
+            starts.setdefault(k, []).append(a + (np.arange(n) if marks[p] is True else np.flatnonzero(np.unpackbits(marks[p], count=n))))
     rows = []
     for k, text in enumerate(block.texts):
         n = len(text)
         if copy[k]:
             gone = np.ones(n, bool)
         elif k in starts:
-            gone = covered(n, np.concatenate(starts[k]), np.concatenate(sizes[k]))
+            gone = covered(n, np.concatenate(starts[k]), window)
         else:
             gone = np.zeros(n, bool)
         a, b = runs(gone)
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(a) else text
         rows.append((block.ids[k], n, int(gone.sum()), [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)], kept))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int = HOT) -> DataFrame:
@@ -343,20 +374,29 @@ def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int
     like any other; a null doc_id stays null; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = fanout(spark)
+    ship(spark)
+    buckets = ranges(docs)
+    crowd = window - gram + 1
+    long = max(gram, window * 4 // 5)
 
     def send(block: Block, no: int, buckets: int) -> Iterator[tuple]:
         keys, _, copies, _, _ = _names(block, window, gram)
-        yield from keys.messages("name", no, buckets)
+        yield from keys.messages("name", no, buckets, crowd)
         yield from copies.messages("copy", no, buckets)
 
-    table = scan(docs, send, "suffix")
+    table = scan(docs, send, "suffix", buckets)
     texts = table.where("kind = 'text'")
     first = resolve(table.where("kind IN ('name', 'copy')"))
     found = save(meet(texts, first, lambda b, t, no: _pieces(b, t, no, window, gram, hot, buckets), SENT), "pieces", by="kind", codec="uncompressed")
     del first
     discard(table, "kind = 'name'")
     release(spark)
-    sorted_ = found.where("kind = 'piece'").groupBy("bucket").applyInArrow(lambda t: _sort(t, window), SENT)
-    second = sorted_.unionByName(resolve(found.where("kind = 'window'"))).unionByName(found.where("kind = 'state'"))
+    split = found.where("kind = 'hot'").groupBy("block").cogroup(resolve(found.where("kind = 'window'")).groupBy("block"))
+    split = save(split.applyInArrow(lambda x, y: _split(x, y, window, long, buckets) if x.num_rows else NONE, SENT), "hotpieces", by="kind", codec="uncompressed")
+    discard(found, "kind = 'window'")
+    discard(found, "kind = 'hot'")
+    # a task for each range: the work is in the sorting, and small inputs would be put together again
+    pieces = found.where("kind = 'piece'").unionByName(split.where("kind = 'hotpiece'")).repartition(buckets, "bucket")
+    sorted_ = pieces.groupBy("bucket").applyInArrow(lambda t: _sort(t, window), SENT)
+    second = sorted_.unionByName(found.where("kind = 'state'")).unionByName(split.where("kind = 'hotstate'"))
     return meet(texts, second, lambda b, t, no: _removed(b, t, window), SCHEMA)
