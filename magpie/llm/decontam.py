@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, covered, mix, runs
-from .store import save, ship
+from .store import fresh, save, ship
 
 # Word places that each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 1, 4, 6, 9, 10), (0, 1, 5, 6, 8, 9), (0, 1, 2, 3, 5, 6))
@@ -38,6 +38,8 @@ EVERY = MASKS + tuple(m for n in SHORT for m in SHORT[n])
 FIRST = {n: len(MASKS) + sum(len(SHORT[k]) for k in range(1, n)) for n in SHORT}
 #: Benchmark words in one block of the query set; each block is one more step of the same job.
 BLOCK_WORDS = 1_000_000
+#: Hits of seeds that are looked at together.
+HITS = 1_000_000
 SPANS = "array<struct<item_id: long, start: long, end: long, equal: long>>"
 
 
@@ -91,17 +93,37 @@ class SeedIndex:
 
     def overlaps(self, w: np.ndarray) -> list[dict]:
         """Overlaps of a text's words with the items: item_id, word range, equal words in it."""
-        diagonals: set[tuple[int, int]] = set()
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for m in self.masks:
             h = seeds(w, m)
             at = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-            if not len(at):
-                continue
             lo, hi = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
-            for i, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                diagonals.update(zip(self.owner[a:b].tolist(), (i - self.place[a:b]).tolist(), strict=True))
+            at, lo, hi = (x[hi > lo] for x in (at, lo, hi))
+            if len(at):
+                hits.append((at, lo, hi))
+        if not hits:
+            return []
+        at, lo, hi = (np.concatenate(x) for x in zip(*hits, strict=True))
+        # hits of each item, from the sums of the items' shares in the ranges of the index
+        touched, times = np.unique(np.stack([lo, hi]), axis=1, return_counts=True)
+        n_hits = np.zeros(len(self.words), np.int64)
+        for a, b, n in zip(*touched.tolist(), times.tolist(), strict=True):
+            np.add.at(n_hits, self.owner[a:b], n)
+        # where hits outnumber diagonals (words that are repeated on both sides), all diagonals are compared
+        lengths = np.array([len(x) for x in self.words])
+        every = n_hits > len(w) + lengths
+        pairs = [np.stack([np.full(len(w) + n - 1, k), np.arange(1 - n, len(w))]) for k, n in zip(np.flatnonzero(every).tolist(), lengths[every].tolist(), strict=True)]
+        step = max(1, HITS // max(1, int((hi - lo).max())))
+        for k in range(0, len(at), step):
+            size = hi[k : k + step] - lo[k : k + step]
+            entry = np.repeat(lo[k : k + step] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            text_at = np.repeat(at[k : k + step], size)
+            rare = ~every[self.owner[entry]]
+            entry, text_at = entry[rare], text_at[rare]
+            pairs.append(np.unique(np.stack([self.owner[entry], text_at - self.place[entry]]), axis=1))
+        diagonals = np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist()
         found = []
-        for k, d in sorted(diagonals):
+        for k, d in diagonals:
             item, size = self.words[k], self.size[k]
             a, b = max(0, d), min(len(w), d + len(item))
             if b - a < size:
@@ -114,36 +136,38 @@ class SeedIndex:
         return found
 
 
-def _searched(docs: DataFrame, index: SeedIndex) -> DataFrame:
+def _searched(docs: DataFrame, index: SeedIndex, text: str, into: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("equal", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("overlaps")
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            at = batch.schema.get_field_index(into)
+            texts = batch.column(batch.schema.get_field_index(text))
             found = [old.as_py() + shared.value.overlaps(word_hashes(t.as_py())) for old, t in zip(batch.column(at), texts, strict=True)]
-            yield batch.set_column(at, "overlaps", pa.array(found, kind))
+            yield batch.set_column(at, into, pa.array(found, kind))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column overlaps: the word ranges shared with benchmark items.
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "overlaps") -> DataFrame:
+    """docs with a column of the word ranges shared with benchmark items.
 
     benchmark: item_id, text. Every item is searched in every document; the items are a stated
     query set, taken in blocks of bounded size, whose seeds each task gets. An overlap has 13 words
     in a row with at least 10 equal ones, or a shorter item's full length with the same share
-    (below 5 words: all equal). Null and empty texts have
-    no overlaps; repeated rows and items are treated alike, items of one id are all searched;
-    an empty benchmark finds nothing; other columns are kept, whatever their names.
+    (below 5 words: all equal). Null and empty texts have no overlaps; repeated rows and items are
+    treated alike, items of one id are all searched; an empty benchmark finds nothing; an empty
+    table stays empty. Other columns are kept, whatever their names; a column with the name of the
+    new one is replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // (4 * BLOCK_WORDS)
-    out = docs.withColumns({"__text": F.col(text).cast("string"), "overlaps": F.array().cast(SPANS)})
+    whole = fresh("text", docs.withColumn(into, F.lit(0)))
+    out = docs.withColumn(whole, F.col(text).cast("string")).withColumn(into, F.array().cast(SPANS))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         # bounded by the block size
@@ -151,10 +175,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
         if k:
             out = save(out, "overlaps")
         if len(index.hashes):
-            out = _searched(out, index)
-    return out.drop("__text")
+            out = _searched(out, index, whole, into)
+    return out.drop(whole)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that overlap with a benchmark item, same columns."""
-    return contamination(docs, benchmark).where(F.size("overlaps") == 0).drop("overlaps")
+    into = fresh("overlaps", docs)
+    return contamination(docs, benchmark, into=into).where(F.size(into) == 0).drop(into)
