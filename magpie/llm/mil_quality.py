@@ -8,21 +8,22 @@ scored by a logistic unit. Only document labels are needed. All is learned here,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship
+from .store import fresh, save, ship
 
 PASSAGE = 1000
 HIDDEN, ATTENTION, EPOCHS, BATCH = 24, 12, 30, 64
 #: Labelled documents that the model is fitted on at most (those with the least hashes of their ids).
 SAMPLE = 3000
-#: Passages of one document that the fit looks at, evenly spread; scores always use all.
-FIT_PASSAGES = 16
+#: Bytes of encoded passages that the driver holds at a time. With more than that, the bags are read again from
+#: their table in every epoch; the steps of the fit are the same.
+FIT_BYTES = 256 << 20
 
 
 def _classes() -> np.ndarray:
@@ -123,20 +124,45 @@ class Model:
         dh = (alpha[:, None] * dz + dt @ self.v.T + dg @ self.u.T) * (1 - h**2)
         return [x.T @ dh, dh.sum(axis=0), h.T @ dt, h.T @ dg, (t * g).T @ ds, z.T @ dl, np.array([dl.sum()])]
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, seed: int = 9) -> Model:
-        if not len(bags) or y.min() == y.max():
+    def fit(self, sizes: np.ndarray, y: np.ndarray, read: Callable[[np.ndarray], list[np.ndarray]], seed: int = 9) -> Model:
+        """Learn from bags of so many passages with labels y; read(numbers) gives some bags, which are held together."""
+        n = len(y)
+        if not n or y.min() == y.max():
             # nothing to tell apart: the share of the only label, held off the ends
-            self.o[:], self.c[:] = 0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(bags) else 0
+            self.o[:], self.c[:] = 0, np.log((y.sum() + 1) / (n - y.sum() + 1)) if n else 0
             return self
-        x = np.concatenate(bags)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
-        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        held: tuple[bytes, list[np.ndarray]] = b"", []
+
+        def parts(order: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+            """The bags in that order, in mini-batches."""
+            nonlocal held
+            bytes_ = np.cumsum(sizes[order]) * WIDTH * 4
+            ends = [k + BATCH for k in range(0, n, BATCH)]
+            first = 0
+            while first < n:
+                # as many mini-batches as fit the memory, one at least
+                base = bytes_[first - 1] if first else 0
+                end = max([first + BATCH, *(e for e in ends if e > first and bytes_[min(e, n) - 1] - base <= FIT_BYTES)])
+                pick = np.sort(order[first:end])
+                if held[0] != pick.tobytes():
+                    held = b"", []
+                    held = pick.tobytes(), read(pick)
+                of = {int(i): bag for i, bag in zip(pick, held[1], strict=True)}
+                for k in range(first, min(end, n), BATCH):
+                    yield order[k : k + BATCH], [of[int(i)] for i in order[k : k + BATCH]]
+                first = end
+
+        count, one, two = 0, np.zeros(WIDTH), np.zeros(WIDTH)
+        for _, bags in parts(np.arange(n)):
+            for x in bags:
+                count, one, two = count + len(x), one + x.sum(axis=0, dtype=float), two + np.square(x, dtype=float).sum(axis=0)
+        self.mean = (one / count).astype(np.float32)
+        self.scale = (np.sqrt(np.maximum(two / count - (one / count) ** 2, 0)) + 0.02).astype(np.float32)
+        weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
         rng, m, v, step = np.random.default_rng(seed), [0.0] * 7, [0.0] * 7, 0
         for epoch in range(EPOCHS):
-            order = rng.permutation(len(bags))
-            for k in range(0, len(order), BATCH):
-                pick = order[k : k + BATCH]
-                grads = self.gradients(np.concatenate([bags[i] for i in pick]), np.array([len(bags[i]) for i in pick]), y[pick], weight[pick])
+            for pick, bags in parts(rng.permutation(n)):
+                grads = self.gradients(np.concatenate(bags), sizes[pick], y[pick], weight[pick])
                 step += 1
                 rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
                 for j, (name, grad) in enumerate(zip(self.NAMES, grads, strict=True)):
@@ -156,47 +182,56 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents that are not held out; the sample is fixed by a hash of their ids."""
-    ship(docs.sparkSession)
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Fit on at most ``sample`` labelled documents that are not held out, with all their passages; the sample is fixed by a hash of their ids.
+
+    Of rows that share a doc_id the largest text counts (a null one is the smallest), of several
+    labels the better one; rows with a null doc_id or label are not learned from.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                x = encode((t.as_py() or "").encode())
-                if len(x) > FIT_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)]
-                out.append(x.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "quality", "bag"])
-
-    # at most sample rows: a proven bound for the broadcast and for the driver
+            bags = [encode((t.as_py() or "").encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in bags], pa.int64()), pa.array([x.astype("<f4").tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "size", "bag"])
+
+    # at most sample rows: a proven bound for the broadcast and for the driver's list of bags
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, bag binary")
-    # rows that repeat a doc_id don't add to the sample
-    got = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    bags = [np.frombuffer(r.bag, "<f4").reshape(-1, WIDTH) for r in got]
-    return Model().fit(bags, np.array([float(r.quality == 1) for r in got]))
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max(F.col("quality").cast("int")).alias("quality"))
+    table = save(texts.mapInArrow(run, "doc_id long, quality int, size long, bag binary"), "bags")
+    rows = sorted(table.select("doc_id", "quality", "size").collect())
+    ids = [r.doc_id for r in rows]
+
+    def read(pick: np.ndarray) -> list[np.ndarray]:
+        some = table.select("doc_id", "bag")
+        if len(pick) < len(ids):
+            some = some.where(F.col("doc_id").isin([ids[k] for k in pick]))
+        return [np.frombuffer(r.bag, "<f4").reshape(-1, WIDTH) for r in sorted(some.collect(), key=lambda r: r.doc_id)]
+
+    return Model().fit(np.array([r["size"] for r in rows], np.int64), np.array([float(r.quality == 1) for r in rows]), read)
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (0 to 1), computed from the whole text alone.
+def score_quality(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """docs with a column of scores (0 to 1), computed from the whole text alone.
 
-    Null and empty texts are bags of one passage without features and get a score as well; all
-    other columns are kept, whatever their names; repeated rows get equal scores.
+    Null and empty texts are bags of one passage without features and get a score as well; repeated
+    rows get equal scores; an empty table stays empty. Other columns are kept, whatever their names;
+    a column with the name of the new one is replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    whole = fresh("text", docs.withColumn(into, F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, score = batch.column(batch.schema.get_field_index("__text")), []
+            texts, score = batch.column(batch.schema.get_field_index(whole)), []
             for k in range(0, len(texts), 200):
                 score.append(shared.value.score([encode((t.as_py() or "").encode()) for t in texts[k : k + 200]]))
-            at = batch.schema.get_field_index("score")
-            yield batch.set_column(at, "score", pa.array(np.concatenate([np.zeros(0), *score])))
+            at = batch.schema.get_field_index(into)
+            yield batch.set_column(at, into, pa.array(np.concatenate([np.zeros(0), *score])))
 
-    wide = docs.withColumns({"__text": F.col("text").cast("string"), "score": F.lit(0.0)})
-    return wide.mapInArrow(run, wide.schema).drop("__text")
+    wide = docs.withColumn(whole, F.col("text").cast("string")).withColumn(into, F.lit(0.0))
+    return wide.mapInArrow(run, wide.schema).drop(whole)
