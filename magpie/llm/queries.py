@@ -14,7 +14,7 @@ from .substring_dedup import repeated_windows
 from .suffix_dedup import repeated_bytes
 from .token_store import token_store
 from .tokens import byte_bpe
-from .url_rules import filter_urls
+from .url_rules import document_of, filter_urls
 from .warc import archive
 
 #: Given url rules: host and path prefix, action.
@@ -61,8 +61,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict for every page url."""
-    got = filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+    """A verdict for every page url. The path of a page ends with the number of the document that it shows."""
+    got = filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES, document=document_of(F.col("url")))
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 

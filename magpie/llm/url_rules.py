@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .store import save
 
 BAD = "label:bad"
+#: Standard deviations by which a rule has to be surer than the share of bad urls.
+SURE = 2.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,24 +58,36 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return rule, action
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20, lift: float = 1.2) -> DataFrame:
-    """Rules (antecedent, confidence, support, key) for bad urls. labels: doc_id (a page_id), quality, toxic; bad: quality 0 or toxic 1.
+def document_of(url: Column) -> Column:
+    """The number that ends a url's path, as in /en/17, /en/17/ and /en/17.html; null without one."""
+    return F.regexp_extract(path_of(url), r"/(\d+)(?:\.\w+)?/?\z", 1).try_cast("long")
 
-    A rule needs the given support and at least ``least`` urls, so that few labels make no rules,
-    and has to tell more than the share of bad urls does (lift).
+
+def _surely(rate: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval of a share of n, at ``SURE`` standard deviations."""
+    z = SURE * SURE
+    return (rate + z / (2 * n) - SURE * F.sqrt(rate * (1 - rate) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
+    """Rules (antecedent, confidence, support, key) for bad urls. pages: url, document; labels: doc_id, quality, toxic; bad: quality 0 or toxic 1.
+
+    A rule needs the given support and at least ``least`` urls, the given confidence, and a
+    confidence that is surely above the share of bad urls. With fewer than ``least`` labelled urls nothing is mined.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    known = pages.select("page_id", "url").where("url IS NOT NULL").join(marks, "page_id")
-    items = known.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), BAD)).otherwise(tokens_of(F.col("url"))).alias("items"))
+    marks = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("document")).agg(F.max(bad).alias("bad"))
+    known = pages.select("document", "url").where("url IS NOT NULL").join(marks, "document")
+    items = known.select("bad", F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), BAD)).otherwise(tokens_of(F.col("url"))).alias("items"))
     items = save(items, "transactions")
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = items.count()
-    if total < least:
+    total, n_bad = items.agg(F.count("*"), F.count_if("bad")).first()
+    if total < least or not n_bad:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, key string")
-    model = FPGrowth(minSupport=max(support, least / total), minConfidence=confidence, itemsCol="items", numPartitions=parts).fit(items)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    model = FPGrowth(minSupport=max(support, least / total), minConfidence=confidence, itemsCol="items", numPartitions=parts).fit(items.select("items"))
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    rules = rules.where(_surely(F.col("confidence"), F.col("support") * total / F.col("confidence")) > n_bad / total).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = save(rules, "rules")
     # a rule is needless if a part of its antecedent makes a rule of no less confidence
     short = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("c"), F.explode("antecedent").alias("token"))
@@ -92,16 +106,19 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return posted.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], support: float = 0.002, confidence: float = 0.6) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], support: float = 0.002, confidence: float = 0.6, document: Column | None = None) -> DataFrame:
     """A verdict for every page url.
 
-    pages: page_id, url; other columns are ignored. Returns page_id, url, host, path, rule (the
+    pages: page_id, url; other columns are ignored. document: which labelled document a page shows
+    (of the columns of pages; the page_id by default). Returns page_id, url, host, path, rule (the
     longest given rule that fits, else null), confidence (of the best mined rule that fits, else
     null) and verdict: the given rule's action, else block if a mined rule fits, else allow. A null
     url, or one without ://, has an empty host and path, fits no rule and is allowed. Repeated rows
-    get one verdict each; empty tables give no rows; without labels nothing is mined.
+    get one verdict each; empty tables give no rows; with fewer than 20 labelled urls, or none that
+    is bad, nothing is mined.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    document = F.col("page_id") if document is None else document
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), document.cast("long").alias("document"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, action = listed(F.col("host"), F.col("path"), rules)
     out = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "action": action})
