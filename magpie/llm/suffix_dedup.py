@@ -15,6 +15,7 @@ Texts that are equal as a whole (128 bits of BLAKE2b) are sorted once, and equal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .store import discard, release, save, ship
 HOT = 256
 CHUNK = 1 << 19
 NONE = pa.Table.from_batches([], schema=SENT_ARROW)
-SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, sha256 string, kept "
 
 
 # --- suffix array of some texts -------------------------------------------------------------
@@ -336,7 +337,14 @@ def _sort(table: pa.Table, window: int) -> pa.Table:
     return pa.Table.from_arrays([table["kind"], table["bucket"], table["block"], pa.array(out, pa.binary())], schema=SENT_ARROW)
 
 
-def _removed(block: Block, answers: pa.Table, window: int) -> pa.Table:
+def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Removed bytes, with all bytes of each character that lost some."""
+    lead = np.flatnonzero(text & 0xC0 != 0x80)
+    lost = np.maximum.reduceat(gone, lead)
+    return np.repeat(lost, np.diff(np.append(lead, len(text))))
+
+
+def _removed(block: Block, answers: pa.Table, window: int, characters: bool) -> pa.Table:
     kinds = set(answers["kind"].to_pylist())
 
     def of(kind: str) -> list:
@@ -358,18 +366,22 @@ def _removed(block: Block, answers: pa.Table, window: int) -> pa.Table:
         else:
             gone = np.zeros(n, bool)
         a, b = runs(gone)
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(a) else text
-        rows.append((block.ids[k], n, int(gone.sum()), [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)], kept))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        data = np.frombuffer(text, np.uint8)
+        kept = data[~(_whole_characters(data, gone) if characters else gone)].tobytes() if len(a) else text
+        sha = sha256(text).hexdigest() if len(a) else None
+        rows.append((block.ids[k], n, int(gone.sum()), [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)], sha, kept.decode() if characters else kept))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string() if characters else pa.binary()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "sha256", "kept"])
 
 
-def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int = HOT) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int = HOT, characters: bool = False) -> DataFrame:
     """Remove each byte covered by a string of that many bytes that also starts anywhere else.
 
     docs: doc_id, text (as UTF-8); other columns are ignored. Matches never cross documents;
     overlaps count; strings are judged on the input. Returns one row per input row: doc_id,
-    n_bytes, n_removed, spans (maximal removed runs, end exclusive) and kept (remaining bytes).
+    n_bytes, n_removed, spans (maximal removed runs, end exclusive), sha256 (of the text, where
+    something was removed; else null) and kept (remaining bytes; with characters, a string of the
+    characters that lost none of their bytes).
     Null and empty texts, and texts shorter than the window, lose nothing; a repeated row is a copy
     like any other; a null doc_id stays null; an empty table gives an empty result.
     """
@@ -399,4 +411,4 @@ def repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 40, hot: int
     pieces = found.where("kind = 'piece'").unionByName(split.where("kind = 'hotpiece'")).repartition(buckets, "bucket")
     sorted_ = pieces.groupBy("bucket").applyInArrow(lambda t: _sort(t, window), SENT)
     second = sorted_.unionByName(found.where("kind = 'state'")).unionByName(split.where("kind = 'hotstate'"))
-    return meet(texts, second, lambda b, t, no: _removed(b, t, window), SCHEMA)
+    return meet(texts, second, lambda b, t, no: _removed(b, t, window, characters), SCHEMA + ("string" if characters else "binary"))
