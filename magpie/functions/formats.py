@@ -47,3 +47,13 @@ def meta_int(json: Column, key: str) -> Column:
 
 def badge(kind: Column) -> Column:
     return F.when(kind.startswith("1"), F.lit("danger")).when(kind.startswith("2"), F.lit("warning")).when(kind.startswith("3"), F.lit("info")).otherwise(F.lit("secondary"))
+
+
+def to_json(*columns: str) -> Column:
+    """Columns as one JSON object, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def from_json(text: Column, schema: str) -> Column:
+    """The columns back; null for a text that is no such object."""
+    return F.from_json(text, schema)

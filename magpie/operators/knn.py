@@ -13,6 +13,8 @@ from magpie.functions.vectors import dot
 
 #: Query vectors that one pass may hold; more are searched block by block.
 QUERY_BLOCK = 20_000
+#: Query vectors that one broadcast of the expression path holds.
+EXPRESSION_BLOCK = 2_000
 #: Scores that one matrix product of a batch may hold.
 CELLS = 4_000_000
 #: Rounding of a matrix product depends on the place in it; candidates this close to the edge stay until they are scored alone.
@@ -26,9 +28,31 @@ def cap_keypoints(queries: DataFrame, most: int = 2000) -> DataFrame:
     return queries.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
+def _blocks(queries: DataFrame, most: int) -> list[DataFrame]:
+    """The queries in blocks of about so many rows; the smallest set is one block."""
+    n = -(-queries.count() // most)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id", "kp"), F.lit(n)) == b) for b in range(n)]
+
+
 def scores(queries: DataFrame, database: DataFrame) -> DataFrame:
-    """Every query keypoint against every vector, as expressions. queries: query_id, kp, q; database: chunk_no, page_id, vec_id, v."""
-    return database.crossJoin(F.broadcast(queries)).select("query_id", "kp", "chunk_no", "page_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+    """Every query keypoint against every vector, as expressions. queries: query_id, kp, q; database: chunk_no, page_id, vec_id, v.
+
+    Blocks of ``EXPRESSION_BLOCK`` queries are broadcast, so what is sent does not grow with them.
+    """
+    out = None
+    for block in _blocks(queries, EXPRESSION_BLOCK):
+        part = database.crossJoin(F.broadcast(block)).select("query_id", "kp", "chunk_no", "page_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def above(queries: DataFrame, database: DataFrame, least: float) -> DataFrame:
+    """All matches with a score at or above least, by matrix products; other scores never leave their batch."""
+    out = None
+    for block in _blocks(queries, QUERY_BLOCK):
+        part = _best(block, database, None, least)
+        out = part if out is None else out.unionByName(part)
+    return out.where(F.col("score") >= least)
 
 
 def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -39,8 +63,8 @@ def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
-def _best(queries: DataFrame, database: DataFrame, k: int, floor: float | None) -> DataFrame:
-    """Candidates of the top k, found with one matrix product per batch; queries are a bounded block."""
+def _best(queries: DataFrame, database: DataFrame, k: int | None, floor: float | None) -> DataFrame:
+    """Candidates of the top k (all if k is None), found with one matrix product per batch; queries are a bounded block."""
     rows = queries.select("query_id", "kp", "q").collect()
     if not rows:
         return database.sparkSession.createDataFrame([], MATCH)
@@ -62,7 +86,7 @@ def _best(queries: DataFrame, database: DataFrame, k: int, floor: float | None)
                 for c in np.unique(chunk):
                     at = np.flatnonzero(chunk == c)
                     part = product[:, at]
-                    if len(at) > k:
+                    if k is not None and len(at) > k:
                         edge = np.partition(part, len(at) - k, axis=1)[:, len(at) - k]
                         keep = part >= edge[:, None] - SLACK
                     else:
@@ -80,10 +104,8 @@ def _best(queries: DataFrame, database: DataFrame, k: int, floor: float | None)
 def top_matches(queries: DataFrame, database: DataFrame, k: int, threshold: float | None = None, scope: str = "chunk", path: str = "arrow") -> DataFrame:
     """The k best vectors of each query keypoint, per chunk or over all, at or above the threshold; ties go to the smaller vec_id."""
     if path == "arrow":
-        blocks = -(-queries.count() // QUERY_BLOCK) or 1
-        parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id", "kp"), F.lit(blocks)) == b) for b in range(blocks)]
         found = None
-        for part in parts:
+        for part in _blocks(queries, QUERY_BLOCK):
             best = _best(part, database, k, threshold)
             found = best if found is None else found.unionByName(best)
     else:
@@ -103,6 +125,61 @@ def nearest(query: DataFrame, database: DataFrame, k: int) -> DataFrame:
     return database.withColumn("score", dot(q, F.col("v"))).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def top_by(queries: DataFrame, database: DataFrame, group: str, k: int) -> DataFrame:
+    """The k best vectors of each query in each group (a column of the database), in one pass; ties go to the smaller vec_id."""
+    marked = database.withColumn("__g", F.xxhash64(group))
+    best = top_matches(queries, marked.select(F.col("__g").alias("chunk_no"), F.lit(0).alias("page_id"), "vec_id", "v"), k)
+    names = database.select("vec_id", group)
+    return best.select("query_id", "kp", "vec_id", "score").join(names, "vec_id").select("query_id", "kp", group, "vec_id", "score")
+
+
+def cells(database: DataFrame, n: int, sample: int = 20_000, rounds: int = 10, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """An approximate index (chunk_no, page_id, vec_id, v): centres (cell, v) and the database with the cell of each vector.
+
+    The centres come from k-means on at most ``sample`` rows (those with the least hashes of their
+    ids); every row of the database is put into the cell of its nearest centre.
+    """
+    spark = database.sparkSession
+    rows = database.select("vec_id", F.col("v").cast("array<double>")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    x = np.array([r.v for r in rows])
+    if not len(x):
+        return spark.createDataFrame([], "cell int, v array<double>"), database.withColumn("cell", F.lit(0))
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        for c in np.unique(of):
+            centres[c] = x[of == c].mean(axis=0)
+    frame = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, v array<double>")
+    shared = spark.sparkContext.broadcast(centres)
+    schema = "chunk_no long, page_id long, vec_id long, v array<double>, cell int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            y = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            step = max(1, CELLS // len(m))
+            cell = np.concatenate([(y[k : k + step] @ m.T - (m**2).sum(axis=1) / 2).argmax(axis=1) for k in range(0, len(y), step)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["chunk_no", "page_id", "vec_id", "v", "cell"])
+
+    side = database.select(*(F.col(c).cast("long") for c in ("chunk_no", "page_id", "vec_id")), F.col("v").cast("array<double>"))
+    return frame, side.mapInArrow(run, schema)
+
+
+def probe(queries: DataFrame, centres: DataFrame, database: DataFrame, k: int, probes: int = 8) -> DataFrame:
+    """The k best vectors of each query in the cells that are nearest to it; k is at most 10,000. Each query meets the vectors of its cells alone."""
+    k = min(k, 10_000)
+    near = scores(queries, centres.select(F.lit(0).alias("chunk_no"), F.lit(0).alias("page_id"), F.col("cell").alias("vec_id"), "v"))
+    half = centres.select(F.col("cell").alias("vec_id"), (dot(F.col("v"), F.col("v")) / 2).alias("half"))
+    w = Window.partitionBy("query_id", "kp").orderBy(F.desc(F.col("score") - F.col("half")), "vec_id")
+    near = near.join(half, "vec_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= probes).select("query_id", "kp", F.col("vec_id").cast("int").alias("cell"))
+    pairs = near.join(queries, ["query_id", "kp"]).join(database, "cell").withColumn("score", dot(F.col("q"), F.col("v")))
+    best = Window.partitionBy("query_id", "kp").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "kp", "vec_id", "score", "rank")
+
+
 def _first(left: DataFrame, lid: str, right: DataFrame, rid: str) -> DataFrame:
     """The nearest right row of each left row; ties by rid."""
     queries = left.select(F.lit(0).cast("long").alias("query_id"), F.col(lid).cast("long").alias("kp"), F.col("v").cast("array<double>").alias("q"))

@@ -2,8 +2,102 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
+#: Sizes of a patch that are tried, as parts of its own.
+SCALES = (0.25, 0.3, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (rows x columns, or x 3) of a binary Netpbm image or a PNG with 8 bits a channel; others raise a ValueError."""
+    if data[:2] in (b"P5", b"P6"):
+        fields, at = [], 2
+        while len(fields) < 3:
+            while data[at : at + 1].isspace():
+                at += 1
+            if data[at : at + 1] == b"#":
+                at = data.index(b"\n", at)
+                continue
+            end = at
+            while data[end : end + 1].isdigit():
+                end += 1
+            fields.append(int(data[at:end]))
+            at = end
+        (w, h, most), depth = fields, 3 if data[1:2] == b"6" else 1
+        if most > 255:
+            raise ValueError("more than 8 bits a channel")
+        flat = np.frombuffer(data, np.uint8, w * h * depth, at + 1)
+        return flat.reshape(h, w, depth) if depth == 3 else flat.reshape(h, w)
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
+    raise ValueError("not a PNG or Netpbm image")
+
+
+def _png(data: bytes) -> np.ndarray:
+    at, parts, head, palette = 8, [], None, None
+    while at < len(data):
+        (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        at += 12 + n
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            parts.append(body)
+    w, h, bits, colour, _, _, interlaced = head
+    if bits != 8 or interlaced:
+        raise ValueError("only PNG with 8 bits a channel, not interlaced")
+    depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * depth)
+    out = np.zeros((h + 1, w + 1, depth), np.uint8)  # a row and a column of zeros come first
+    for y, row in enumerate(rows, 1):
+        x, up = row[1:].reshape(w, depth), out[y - 1, 1:]
+        if row[0] == 0:
+            out[y, 1:] = x
+        elif row[0] == 1:
+            out[y, 1:] = np.cumsum(x, axis=0, dtype=np.uint8)
+        elif row[0] == 2:
+            out[y, 1:] = x + up
+        else:
+            for k in range(w):
+                a, b, c = (v.astype(int) for v in (out[y, k], out[y - 1, k + 1], out[y - 1, k]))
+                if row[0] == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+                    guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+                out[y, k + 1] = x[k] + guess
+    out = out[1:, 1:]
+    if colour == 3:
+        return palette[out[..., 0]]
+    return out[..., 0] if depth < 3 else out[..., :3]
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    """Luma of an image in colour; a grey one stays."""
+    return image if image.ndim == 2 else np.round(image[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+
+
+def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """To another size: means of the covered areas where it shrinks, nearest pixels where it grows."""
+    for axis, n in ((0, h), (1, w)):
+        have = image.shape[axis]
+        if n < have:
+            edge = np.linspace(0, have, n + 1)
+            sums = np.concatenate([np.zeros_like(np.take(image, [0], axis), float), np.cumsum(image, axis, dtype=float)], axis)
+            low = np.minimum(edge.astype(int), have - 1)
+            shape = [-1 if k == axis else 1 for k in range(image.ndim)]
+            at = np.take(sums, low, axis) + (edge - low).reshape(shape) * np.take(image, low, axis)
+            image = np.diff(at, axis=axis) / (have / n)
+        elif n > have:
+            image = np.take(image, np.minimum(((np.arange(n) + 0.5) * have / n).astype(int), have - 1), axis)
+    return np.round(image).astype(np.uint8)
+
 
 def blank(image: np.ndarray, least: float = 30.0) -> bool:
     return float(np.std(image)) < least
@@ -26,9 +120,9 @@ def equalise(image: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) / image.size * 255).astype(np.uint8)[image]
 
 
-def correlate(page: np.ndarray, patch: np.ndarray) -> tuple[float, int, int]:
-    """Best normalised correlation of a patch with its place (row, column), by Fourier transform."""
-    a, b = page.astype(float), patch.astype(float) - patch.mean()
+def correlate(page: np.ndarray, patch: np.ndarray, centred: bool = True) -> tuple[float, int, int]:
+    """Best normalised correlation of a patch with its place (row, column), by Fourier transform; centred: of the deviations from the means."""
+    a, b = page.astype(float), patch.astype(float) - (patch.mean() if centred else 0)
     h, w = b.shape
     shape = (a.shape[0] + h - 1, a.shape[1] + w - 1)
     f = np.fft.irfft2(np.fft.rfft2(a, shape) * np.fft.rfft2(b[::-1, ::-1], shape), shape)[h - 1 : a.shape[0], w - 1 : a.shape[1]]
@@ -37,23 +131,28 @@ def correlate(page: np.ndarray, patch: np.ndarray) -> tuple[float, int, int]:
         s = np.pad(np.cumsum(np.cumsum(x, 0), 1), ((1, 0), (1, 0)))
         return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
 
-    spread = np.sqrt(np.maximum(sums(a * a) - sums(a) ** 2 / (h * w), 1e-9) * (b * b).sum())
+    energy = sums(a * a) - (sums(a) ** 2 / (h * w) if centred else 0)
+    spread = np.sqrt(np.maximum(energy, 1e-9) * (b * b).sum())
     score = np.where(spread > 1e-6, f / np.maximum(spread, 1e-6), 0)
     i = int(score.argmax())
     return float(score.flat[i]), *(int(x) for x in np.unravel_index(i, score.shape))
 
 
-def template(page: np.ndarray, patch: np.ndarray, scales=(0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2)) -> dict:
-    """The best match over scales; those under 20 pixels or larger than the page are left out."""
-    page, best = equalise(page), {"score": 0.0, "y": 0, "x": 0, "scale": 0.0}
+def template(page: np.ndarray, patch: np.ndarray, scales=SCALES) -> dict:
+    """The best match over scales and both correlations, centred and not; patches under 20 pixels or larger than the page are left out.
+
+    Page and patch are equalised before the patch is scaled.
+    """
+    page, patch, best = equalise(page), equalise(patch), {"score": 0.0, "y": 0, "x": 0, "scale": 1.0}
     for s in scales:
         h, w = int(patch.shape[0] * s), int(patch.shape[1] * s)
         if min(h, w) < 20 or h > page.shape[0] or w > page.shape[1]:
             continue
-        scaled = patch[(np.arange(h) / s).astype(int)[:, None], (np.arange(w) / s).astype(int)]
-        score, y, x = correlate(page, equalise(scaled))
-        if score > best["score"]:
-            best = {"score": score, "y": y, "x": x, "scale": s}
+        scaled = resize(patch, h, w)
+        for centred in (True, False):
+            score, y, x = correlate(page, scaled, centred)
+            if score > best["score"]:
+                best = {"score": score, "y": y, "x": x, "scale": s}
     return best
 
 
@@ -122,3 +221,14 @@ def localise(candidates, schema: str = "query_id long, page_id long, inliers lon
     # few bytes but much work: a stated number of partitions is not put together again
     dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "page_id")
     return dealt.groupBy("query_id", "page_id").applyInPandas(run, schema)
+
+
+def by_padded_size(images, size: int, step: int = 16):
+    """Images (path, height, width) with their padded size and a batch number: batches hold images of one padded size, at most so many."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    up = lambda c: (F.ceil(F.col(c) / step) * step).cast("int")
+    out = images.withColumns({"padded_height": up("height"), "padded_width": up("width")})
+    w = Window.partitionBy("padded_height", "padded_width").orderBy("path")
+    return out.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

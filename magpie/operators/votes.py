@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,16 +69,41 @@ def rank(page_votes: DataFrame, top: int, path: str = "path") -> DataFrame:
     return out.withColumn("score", F.when(best > 0, F.col("adjusted") / best).otherwise(0.0))
 
 
-def possible_hit(ranked: DataFrame) -> DataFrame:
-    """Whether the first result of each query stands out: at least 120 votes, 1.5 times and 50 more than the second."""
-    top = ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("votes"))).alias("top"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("votes"))), F.lit(0)).alias("second"))
-    return top.withColumn("possible", (F.col("top") >= 120) & (F.col("top") >= 1.5 * F.greatest("second", F.lit(1))) & (F.col("top") - F.col("second") >= 50))
+def possible_hit(ranked: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Whether the first result of each local-descriptor search stands out.
+
+    ranked: query_id, rank, votes; sessions: query_id, type, status, percent. It needs a type with
+    DISK in it, two results, at least 120 votes, 1.5 times and 50 more than the second, and, while
+    the search is in progress, 10 percent of it done.
+    """
+    pick = lambda k: F.max(F.when(F.col("rank") == k, F.col("votes")))
+    top = sessions.join(ranked.groupBy("query_id").agg(pick(1).alias("top"), pick(2).alias("second")), "query_id", "left")
+    second = F.greatest("second", F.lit(1))
+    early = (F.col("status") == "in_progress") & (F.col("percent") < 10)
+    clear = (F.col("top") >= 120) & (F.col("top") / second >= 1.5) & (F.col("top") - second >= 50)
+    possible = F.upper("type").contains("DISK") & F.col("second").isNotNull() & clear & ~early
+    return top.select("query_id", "top", "second", F.coalesce(possible, F.lit(False)).alias("possible"))
 
 
 def leaderboard_by_chunk(chunk_votes: DataFrame, top: int) -> DataFrame:
-    """The running leaders after each chunk. chunk_votes: query_id, chunk_no, page_id, votes (any chunk order gives the same end)."""
-    chunks = chunk_votes.select("query_id", "chunk_no").distinct()
-    later = chunk_votes.withColumnRenamed("chunk_no", "of").join(chunks, "query_id").where("of <= chunk_no")
-    total = later.groupBy("query_id", "chunk_no", "page_id").agg(F.sum("votes").alias("votes"))
-    w = Window.partitionBy("query_id", "chunk_no").orderBy(F.desc("votes"), "page_id")
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    """The running leaders after each chunk. chunk_votes: query_id, chunk_no, page_id, votes.
+
+    A page that gains no votes in a chunk cannot rise, so the leaders after it are among those
+    before it and the best of the pages that it votes for. Only so many rows a chunk are folded.
+    """
+    so_far = Window.partitionBy("query_id", "page_id").orderBy("chunk_no")
+    best = Window.partitionBy("query_id", "chunk_no").orderBy(F.desc("votes"), "page_id")
+    risen = chunk_votes.withColumn("votes", F.sum("votes").over(so_far)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        leaders: dict[int, int] = {}
+        out = []
+        for chunk, rows in frame.sort_values("chunk_no").groupby("chunk_no"):
+            leaders |= dict(zip(rows.page_id.tolist(), rows.votes.tolist(), strict=True))
+            first = sorted(leaders.items(), key=lambda x: (-x[1], x[0]))[:top]
+            leaders = dict(first)
+            out += [(frame.query_id.iloc[0], chunk, page, n, k + 1) for k, (page, n) in enumerate(first)]
+        return pd.DataFrame(out, columns=["query_id", "chunk_no", "page_id", "votes", "rank"])
+
+    risen = risen.select(*(F.col(c).cast("long") for c in ("query_id", "chunk_no", "page_id", "votes")))
+    return risen.groupBy("query_id").applyInPandas(fold, "query_id long, chunk_no long, page_id long, votes long, rank long")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from magpie.functions import formats as fm
 from magpie.functions import paths as P
 from magpie.functions import vectors as V
-from magpie.operators import catalog, incremental, pixels, tables
+from magpie.operators import catalog, incremental, pixels, rerank, tables
 from magpie.plans.fixtures import HISTORY, PATHS, RESULTS, Tables, chain
 from magpie.plans.registry import query
+from magpie.sources import files
 from magpie.streaming import changes
 
 # --- catalogue -------------------------------------------------------------------------------
@@ -70,11 +71,15 @@ def rle_decode(t):
     return catalog.expand_runs(_runs(t), "user_id", "event_type")
 
 
-@query(f"WITH {_RUNS} SELECT user_id, sum(n)::BIGINT AS items, count(*) AS runs, arg_max(n, seq) AS tail FROM r GROUP BY user_id")
+@query(f"""WITH {_RUNS}
+SELECT user_id, sum(n)::BIGINT AS items, count(*) AS runs, count(DISTINCT event_type) AS kinds, arg_max(n, seq) AS tail,
+  round(sum(n) / greatest(count(DISTINCT event_type), 1), 6) AS ratio
+FROM r GROUP BY user_id""")
 def chunk_stats(t):
-    """Items, runs and the last run of each chunk."""
+    """Items, runs, distinct values, their ratio and the last run of each chunk."""
     r = _runs(t)
-    return r.groupBy("user_id").agg(F.sum("n").alias("items"), F.count("*").alias("runs")).join(catalog.tail_run(r, "user_id"), "user_id")
+    sums = r.groupBy("user_id").agg(F.sum("n").alias("items"), F.count("*").alias("runs"), F.countDistinct("event_type").alias("kinds"), F.max_by("n", "seq").alias("tail"))
+    return sums.withColumn("ratio", F.round(F.col("items") / F.greatest("kinds", F.lit(1)), 6))
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source UNION ALL SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') FROM documents GROUP BY lang")
@@ -106,7 +111,7 @@ def first_mismatch(t):
 @query("SELECT label AS collection, max(vec_id // 128) + 1 AS next_chunk, count(DISTINCT vec_id // 40) AS books FROM embeddings GROUP BY label")
 def rebuild_state(t):
     """A29."""
-    return catalog.rebuild_state(t.keypoints(0).withColumn("book", F.expr("vec_id div 40")))
+    return catalog.rebuild_state(t.keypoints().withColumn("book", F.expr("vec_id div 40")))
 
 
 @query("SELECT event_type, arg_max(user_id, (ts, event_id)) AS user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY event_type")
@@ -140,10 +145,14 @@ def two_stage_dedup(t):
     return new.withColumn("hash", F.sha2("text", 256)).join(known, ["hash", "source"], "left_anti").select("doc_id")
 
 
-@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, round(sum(octet_length(encode(text))) / 1048576.0, 6) AS mb, avg(n_chars)::BIGINT AS _x FROM documents GROUP BY source".replace("avg(n_chars)::BIGINT AS _x", "sum(n_chars)::BIGINT // count(*) AS mean_chars"))
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(octet_length(encode(props)))::BIGINT AS bytes,
+  sum(octet_length(encode(props)))::BIGINT // count(*) AS mean_bytes, round(avg(octet_length(encode(props))), 6) AS average,
+  round(sum(octet_length(encode(props))) / 1048576.0, 6) AS mb, min(ts) AS first, max(ts) AS last
+FROM events GROUP BY event_type""")
 def hash_stats(t):
-    """Counts and sizes by collection; whole-number mean."""
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.round(F.sum(F.octet_length("text")) / 1048576.0, 6).alias("mb"), F.expr("sum(n_chars) div count(*)").alias("mean_chars"))
+    """Counts, sizes and times by collection; the mean in whole numbers too."""
+    size = F.octet_length("props").cast("long")
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.sum(size).alias("bytes"), F.expr("sum(octet_length(props)) div count(*)").alias("mean_bytes"), F.round(F.avg(size), 6).alias("average"), F.round(F.sum(size) / 1048576.0, 6).alias("mb"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 @query("WITH i AS (SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT doc_id FROM labels) SELECT coalesce(source, 'unknown') AS source, count(i.doc_id) AS images, count(i.doc_id) FILTER (f.doc_id IS NULL) AS missing, count(f.doc_id) FILTER (i.doc_id IS NULL) AS extra, round(count(i.doc_id) FILTER (f.doc_id IS NOT NULL) / greatest(count(i.doc_id), 1), 6) AS ratio FROM i FULL JOIN f ON i.doc_id = f.doc_id GROUP BY ALL")
@@ -179,14 +188,15 @@ def terms_top(t):
 # --- history -------------------------------------------------------------------------------
 
 
-@query(chain(HISTORY, RESULTS) + "SELECT id, date, type, a.path AS first_path, a.votes AS first_votes, b.votes AS second_votes FROM hs LEFT JOIN rs a ON a.history_id = id AND a.rank = 1 LEFT JOIN rs b ON b.history_id = id AND b.rank = 2 WHERE type = '1-URGENT' ORDER BY date DESC, id DESC LIMIT 20 OFFSET 20")
+@query(chain(HISTORY, RESULTS) + """SELECT id, date, type, a.path AS first_path, a.votes AS first_votes, b.votes AS second_votes
+FROM hs LEFT JOIN rs a ON a.history_id = id AND a.rank = 1 LEFT JOIN rs b ON b.history_id = id AND b.rank = 2
+WHERE type = '1-URGENT' ORDER BY date DESC, id DESC LIMIT 20 OFFSET 20""")
 def history_page(t):
-    """A page of searches with their first and second results."""
-    r = t.results()
+    """A page of searches with their first and second results; only the results of the page are ranked."""
     page = t.history().where("type = '1-URGENT'").orderBy(F.desc("date"), F.desc("id")).offset(20).limit(20)
-    one, two = (r.where(f"rank = {k}") for k in (1, 2))
-    out = page.join(one.select(F.col("history_id").alias("id"), F.col("path").alias("first_path"), F.col("votes").alias("first_votes")), "id", "left")
-    return out.join(two.select(F.col("history_id").alias("id"), F.col("votes").alias("second_votes")), "id", "left").select("id", "date", "type", "first_path", "first_votes", "second_votes")
+    of = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    top = t.results(page).where("rank <= 2").groupBy(F.col("history_id").alias("id")).agg(of(1, "path").alias("first_path"), of(1, "votes").alias("first_votes"), of(2, "votes").alias("second_votes"))
+    return page.join(top, "id", "left").select("id", "date", "type", "first_path", "first_votes", "second_votes")
 
 
 @query(chain(HISTORY) + "SELECT type, count(*) AS n FROM hs WHERE status <> 'in_progress' GROUP BY type")
@@ -195,10 +205,10 @@ def history_count(t):
     return t.history().where("status <> 'in_progress'").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(chain(RESULTS) + "SELECT history_id, rank, path, votes, score FROM rs WHERE history_id % 100 = 7 AND rank <= 5")
+@query(chain(RESULTS) + "SELECT history_id, rank, path, votes, score FROM rs JOIN orders ON o_orderkey = history_id")
 def history_detail(t):
-    """Details with ranks."""
-    return t.results().where("history_id % 100 = 7 AND rank <= 5")
+    """The ranked details of all sessions."""
+    return t.history().select(F.col("id").alias("history_id")).join(t.results(), "history_id").select("history_id", "rank", "path", "votes", "score")
 
 
 @query(chain(RESULTS) + "SELECT history_id, max(CASE WHEN rank = 1 THEN votes END) AS top, max(CASE WHEN rank = 2 THEN votes END) AS second, count(*) AS n FROM rs GROUP BY history_id")
@@ -270,10 +280,9 @@ def prefix_remap(t):
 
 @query(chain(PATHS) + "SELECT page_id, row_number() OVER (ORDER BY book, CASE WHEN page_id % 11 = 0 THEN 0 ELSE page_id END, page_id) AS place FROM pt")
 def natural_sort(t):
-    """Digit runs by value."""
-    from pyspark.sql import Window
-
-    return t.paths().select("page_id", F.row_number().over(Window.orderBy(P.natural_key(F.col("path")), "page_id")).alias("place"))
+    """Digit runs by value; places are counted by ranges."""
+    keyed = t.paths().select("page_id", P.natural_key(F.col("path")).alias("key"))
+    return tables.numbered(keyed, ["key", "page_id"]).select("page_id", "place")
 
 
 @query("SELECT event_id, (event_id % 50)::INT AS done, 40 AS total, least(100, event_id % 50 * 100.0 / 40)::DOUBLE AS percent FROM events")
@@ -297,10 +306,14 @@ def date_labels(t):
     return t.orders.select("o_orderkey", fm.day_label(d, F.lit("1996-01-02").cast("date")).alias("label"), fm.iso(d).alias("iso"), fm.badge(F.col("o_orderpriority")).alias("badge"), P.short_message(F.col("o_orderpriority"), 4).alias("short"))
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, TRY_CAST(json_extract_string(props, '$.none') AS INT) AS none FROM events")
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, TRY_CAST(json_extract_string(props, '$.none') AS INT) AS none,
+  '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS packed, event_type AS back
+FROM events""")
 def json_meta(t):
-    """H6 H7."""
-    return t.events.select("event_id", fm.meta_int(F.col("props"), "k").alias("k"), fm.meta_int(F.col("props"), "none").cast("int").alias("none"))
+    """H6 H7: whole numbers of metadata; rows as JSON and back."""
+    out = t.events.withColumn("packed", fm.to_json("event_id", "event_type"))
+    back = fm.from_json(F.col("packed"), "event_id long, event_type string")["event_type"]
+    return out.select("event_id", fm.meta_int(F.col("props"), "k").alias("k"), fm.meta_int(F.col("props"), "none").cast("int").alias("none"), "packed", back.alias("back"))
 
 
 @query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), 'spam') THEN 'spam' ELSE '/de/' END AS item FROM pages WHERE contains(lower(url), 'blog') OR contains(lower(url), 'spam') OR contains(lower(url), '/de/') UNION ALL SELECT -1, item FROM (VALUES ('blog'), ('spam'), ('/de/'), ('nowhere')) AS t(item) WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(lower(url), item))")
@@ -315,30 +328,66 @@ def substring_list_filter(t):
     return found.unionByName(every.join(hits, "item", "left_anti").select(F.lit(-1).cast("long").alias("page_id"), "item"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, ((l_partkey + 15) // 16) * 16 AS padded, round(least(1.0, 512.0 / greatest(l_partkey, l_suppkey)), 6) AS factor, floor((l_partkey * 1000 - 200) / 512)::BIGINT AS vectors, round(least(greatest(l_quantity * 4 - 20, 0), 100) / 100, 6) AS x1 FROM lineitem WHERE l_orderkey < 200")
+@query("""WITH b AS (
+  SELECT *, greatest(0, least(l_quantity * 4 - 20, 99)) / 100 AS x1, greatest(0, least(l_quantity * 5 - 10, 99)) / 100 AS x2,
+    greatest(0, least(l_linenumber - 1.0, 9)) / 10 AS y1, greatest(0, least(l_linenumber * 2.0, 9)) / 10 AS y2
+  FROM lineitem)
+SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, ((l_partkey + 15) // 16) * 16 AS padded,
+  round(least(1.0, 512.0 / greatest(l_partkey, l_suppkey)), 6) AS factor, floor((l_partkey * 1000 - 200) / 512)::BIGINT AS vectors,
+  CASE WHEN x2 > x1 AND y2 > y1 THEN round(x1, 6) END::DOUBLE AS x1, CASE WHEN x2 > x1 AND y2 > y1 THEN round(y1, 6) END::DOUBLE AS y1,
+  CASE WHEN x2 > x1 AND y2 > y1 THEN round(x2, 6) END::DOUBLE AS x2, CASE WHEN x2 > x1 AND y2 > y1 THEN round(y2, 6) END::DOUBLE AS y2,
+  CASE WHEN x2 > x1 AND y2 > y1
+    THEN printf('left:%.2f%%;top:%.2f%%;width:%.2f%%;height:%.2f%%;', (x1 * 100)::DOUBLE, (y1 * 100)::DOUBLE, ((x2 - x1) * 100)::DOUBLE, ((y2 - y1) * 100)::DOUBLE)
+    ELSE '' END AS style
+FROM b""")
 def geometry_functions(t):
-    """V6-V10."""
-    p, s, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
-    b = V.box(q * 4 - 20, F.lit(0.0), F.lit(1000.0), F.lit(10.0), F.lit(100.0), F.lit(10.0))
-    clamped = F.coalesce(b["x1"], F.lit(1.0))
-    return t.lineitem.where("l_orderkey < 200").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), p.alias("p"), s.alias("s"), V.padded(p).alias("padded"), F.round(V.resize_factor(p, s, 512), 6).alias("factor"), V.vectors_in(p * 1000).alias("vectors"), F.round(clamped, 6).alias("x1"))
-
-
-@query("SELECT p_partkey, lower(translate(p_name || '''s “x”', '''’‘`', '')) AS key, replace(p_name || '-page3.jpg', p_name, '') AS rest, starts_with(lower(p_name || '-page3.jpg'), lower(p_name)) AS fits, p_name || '-page' || p_size || '.jpg' AS expected, p_name || '/f.npz' AS stored, p_name AS source FROM part")
+    """Boxes of matches, whole and in percent, of every row."""
+    p, s, q, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber")
+    rows = t.lineitem.withColumn("b", V.box(q * 4 - 20, n - F.lit(1.0), q * 5 - 10, n * F.lit(2.0), F.lit(100.0), F.lit(10.0)))
+    corners = [F.round(F.col("b")[c], 6).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return rows.select(F.col("l_orderkey").alias("k"), n.alias("n"), p.alias("p"), s.alias("s"), V.padded(p).alias("padded"), F.round(V.resize_factor(p, s, 512), 6).alias("factor"), V.vectors_in(p * 1000).alias("vectors"), *corners, V.percent_box(F.col("b")).alias("style"))
+
+
+@query("""WITH n AS (
+  SELECT p_partkey, p_name, p_name || ' a and b x y' AS short FROM part)
+SELECT p_partkey, lower(translate(p_name || '''s “x”', '''’‘`', '')) AS key, replace(p_name || '-page3.jpg', p_name, '') AS rest,
+  starts_with(lower(p_name || '-page3.jpg'), lower(p_name)) AS fits, p_name || '/f.npz' AS stored, p_name AS source,
+  CASE WHEN row_number() OVER (PARTITION BY short ORDER BY p_partkey) > 1
+    THEN short || ' ' || row_number() OVER (PARTITION BY short ORDER BY p_partkey) ELSE short END AS title
+FROM n""")
 def title_functions(t):
-    """F12-F16."""
-    n = F.col("p_name")
-    return t.part.select("p_partkey", P.match_key(F.concat(n, F.lit("'s “x”"))).alias("key"), F.replace(F.concat(n, F.lit("-page3.jpg")), n, F.lit("")).alias("rest"), P.starts_with_folder(F.concat(n, F.lit("-page3.jpg")), n).alias("fits"), P.expected_name(n, F.col("p_size")).alias("expected"), P.stored_path(n, F.lit("f")).alias("stored"), P.face_source(F.concat(n, F.lit("_face_"), F.col("p_size").cast("string"))).alias("source"))
+    """Titles without marks and brackets, numbered where they are equal."""
+    n, size = F.col("p_name"), F.col("p_size").cast("string")
+    long = F.concat(n, F.lit(" [vol. "), size, F.lit("] (new); a & b, x_y -- "), size, F.lit(" -- z"))
+    titled = P.unique_titles(t.part.withColumn("long", long), "long", "p_partkey")
+    return titled.select("p_partkey", P.match_key(F.concat(n, F.lit("'s “x”"))).alias("key"), F.replace(F.concat(n, F.lit("-page3.jpg")), n, F.lit("")).alias("rest"), P.starts_with_folder(F.concat(n, F.lit("-page3.jpg")), n).alias("fits"), P.stored_path(n, F.lit("f")).alias("stored"), P.face_source(F.concat(n, F.lit("_face_"), size)).alias("source"), "title")
 
 
 # --- incremental ---------------------------------------------------------------------------
 
 
-@query("WITH c AS (SELECT source, count(*) AS current FROM documents GROUP BY source), s AS (SELECT source, count(*) AS scanned FROM documents WHERE source <> 'src3' GROUP BY source), k AS (SELECT source, count(*) AS known FROM documents WHERE doc_id % 97 <> 1 OR source = 'src3' GROUP BY source) SELECT source, current, coalesce(scanned, 0) AS scanned, coalesce(known, 0) AS known, CASE WHEN current = coalesce(scanned, 0) AND coalesce(known, 0) >= current THEN 'skip' WHEN coalesce(scanned, 0) = 0 AND coalesce(known, 0) >= current THEN 'recover' ELSE 'process' END AS action FROM c LEFT JOIN s USING (source) LEFT JOIN k USING (source)")
+@query("""WITH c AS (
+  SELECT CASE WHEN lang = 'es' THEN source || '/._batch_' || doc_id % 3 ELSE source || '/' || lang END AS folder, doc_id FROM documents),
+cur AS (SELECT folder, count(*) AS current FROM c GROUP BY folder UNION ALL SELECT 'empty/scanned', 0 UNION ALL SELECT 'empty/new', 0),
+s AS (
+  SELECT folder, count(*) AS scanned FROM c WHERE NOT starts_with(folder, 'src3/') GROUP BY folder
+  UNION ALL SELECT 'empty/scanned', 0),
+k AS (SELECT folder, count(*) AS known FROM c WHERE doc_id % 31 <> 1 OR starts_with(folder, 'src3/') GROUP BY folder)
+SELECT folder, current, scanned, coalesce(known, 0) AS known,
+  CASE WHEN contains(folder, '/._batch_') THEN 'process'
+    WHEN scanned IS NOT NULL AND current = scanned AND coalesce(known, 0) >= current THEN 'skip'
+    WHEN scanned IS NULL AND coalesce(known, 0) >= current AND current > 0 THEN 'recover' ELSE 'process' END AS action
+FROM cur LEFT JOIN s USING (folder) LEFT JOIN k USING (folder)""")
 def folder_skip(t):
-    """Which folders need work."""
-    n = lambda d: d.groupBy("source").agg(F.count("*").alias("n"))
-    return incremental.folder_state(n(t.documents), n(t.documents.where("source <> 'src3'")), n(t.documents.where("doc_id % 97 <> 1 OR source = 'src3'")), "source")
+    """Which folders need work; virtual batches always do, and a folder scanned as empty differs from one never scanned."""
+    folder = F.when(F.col("lang") == "es", F.concat("source", F.lit("/._batch_"), (F.col("doc_id") % 3).cast("string"))).otherwise(F.concat_ws("/", "source", "lang"))
+    c = t.documents.select(folder.alias("folder"), "doc_id")
+    n = lambda d: d.groupBy("folder").agg(F.count("*").alias("n"))
+    none = lambda *names: t.spark.createDataFrame([(x, 0) for x in names], "folder string, n long")
+    src3 = F.col("folder").startswith("src3/")
+    # other case and slashes on the scanned side
+    scanned = n(c.where(~src3)).unionByName(none("empty/scanned")).withColumn("folder", F.upper(F.replace("folder", F.lit("/"), F.lit("\\"))))
+    return incremental.folder_state(n(c).unionByName(none("empty/scanned", "empty/new")), scanned, n(c.where((F.col("doc_id") % 31 != 1) | src3)), "folder")
 
 
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS batch FROM documents")
@@ -373,11 +422,16 @@ def rename_paths(t):
     return rows.crossJoin(F.broadcast(count))
 
 
-@query("WITH j AS (SELECT event_id AS job_id, ts, CASE WHEN event_id % 3 = 0 THEN 'queued' WHEN event_id % 3 = 1 THEN 'done' ELSE 'running' END AS state FROM events WHERE user_id < 20), n AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY ts, job_id) AS p, row_number() OVER (PARTITION BY state ORDER BY ts DESC, job_id DESC) AS d FROM j) SELECT job_id, ts, state, CASE WHEN state = 'queued' THEN p END AS position FROM n WHERE state <> 'done' OR d <= 100")
+@query("""WITH j AS (
+  SELECT event_id AS job_id, ts, CASE WHEN event_id % 3 = 0 THEN 'queued' WHEN event_id % 3 = 1 THEN 'done' ELSE 'running' END AS state
+  FROM events),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY state ORDER BY ts, job_id) AS p, row_number() OVER (PARTITION BY state ORDER BY ts DESC, job_id DESC) AS d
+  FROM j)
+SELECT job_id, ts, state, CASE WHEN state = 'queued' THEN p END AS position FROM n WHERE state <> 'done' OR d <= 100""")
 def job_queue(t):
     """Places in the queue, the last results kept."""
-    j = t.events.where("user_id < 20").select(F.col("event_id").alias("job_id"), "ts", F.when(F.col("event_id") % 3 == 0, "queued").when(F.col("event_id") % 3 == 1, "done").otherwise("running").alias("state"))
-    return changes.queue(j)
+    return changes.queue(t.events.select(F.col("event_id").alias("job_id"), "ts", F.when(F.col("event_id") % 3 == 0, "queued").when(F.col("event_id") % 3 == 1, "done").otherwise("running").alias("state")))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -395,6 +449,99 @@ def session_predicates(t):
     return t.history().select("id", (F.col("type").like("%HIGH%") | F.col("type").like("1%")).alias("urgent"), incremental.resumable(kind, F.col("status")).alias("again"), incremental.move_action(F.col("id") % 2 == 0, F.col("id") % 3 == 0).alias("action"))
 
 
+@query("""SELECT doc_id, CASE WHEN n.path IS NOT NULL THEN n.path ELSE d.p END AS found
+FROM (SELECT doc_id, 'It''s ' || doc_id AS p FROM documents) d
+LEFT JOIN (SELECT doc_id, 'It’s ' || doc_id AS path FROM documents WHERE doc_id % 3 = 0) n USING (doc_id)""")
+def apostrophe_lookup(t):
+    """the spelling under which a path is known."""
+    path = lambda mark: F.concat(F.lit(f"It{mark}s "), F.col("doc_id").cast("string")).alias("path")
+    return P.found_spelling(t.documents.select("doc_id", path("'")), t.documents.where("doc_id % 3 = 0").select(path("’"))).select("doc_id", "found")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'books' END AS owner,
+  CASE WHEN page_id % 4 IN (0, 1) THEN 'B' || page_id % 9 || '/p' || page_id || '.jpg' END AS rest,
+  'B' || page_id % 9 || '/p' || page_id || '.npz' AS features
+FROM pages""")
+def path_owner(t):
+    """The collection that owns a path, by an ordered dimension of prefixes and their mirrored drives; where its features are."""
+    n = F.col("page_id")
+    start = F.when(n % 4 == 0, F.lit("T:/books/")).when(n % 4 == 1, F.lit("s:\\books/")).otherwise(F.lit("D:/books/"))
+    path = F.concat(start, F.lit("B"), (n % 9).cast("string"), F.lit("/p"), n.cast("string"), F.lit(".jpg"))
+    prefixes = t.spark.createDataFrame([("books", "S:\\books\\", 1), ("other", "T:/", 2)], "collection string, prefix string, order int")
+    got = P.resolve(t.pages.select("page_id", path.alias("path")), prefixes)
+    return got.select("page_id", "owner", "rest", P.feature_file(F.col("path")).alias("features"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'b/' || doc_id WHEN 1 THEN 'Subfolder1/' || doc_id WHEN 2 THEN 'etsy/x/' || doc_id ELSE 'pdf-images/' || doc_id END AS path,
+  'Uber Cafe ' || doc_id AS folded
+FROM documents""")
+def path_rules(t):
+    """Leading parts dropped by collection; names folded to ASCII."""
+    n = F.col("doc_id")
+    k = lambda i: n % 4 == i
+    path = F.concat(F.when(k(0), "PDF-images//b/").when(k(1), "eBay/Subfolder1/").when(k(2), "etsy/x/").otherwise("pdf-images/"), n.cast("string"))
+    kind = F.when(k(0), "books").otherwise("print_ads")
+    return t.documents.select("doc_id", P.feature_path(path, kind).alias("path"), P.ascii_fold(F.concat(F.lit("Über:  <Café>? "), n.cast("string"))).alias("folded"))
+
+
+@query("""SELECT min_by(url, page_id) AS url, min(page_id) AS page_id
+FROM (SELECT page_id, split_part(url, '/', 3) AS url FROM pages) GROUP BY lower(url)""")
+def ordered_distinct(t):
+    """The first spelling of each text, without regard to case."""
+    return tables.distinct_first(t.pages.select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("url")), "url", "page_id")
+
+
+@query('SELECT count(*) > 0 AS "some", false AS none FROM documents WHERE n_chars > 10')
+def existence(t):
+    """Whether there is a row."""
+    d = t.documents
+    return t.spark.createDataFrame([(rerank.exists(d.where("n_chars > 10")), rerank.exists(d.where("n_chars < 0")))], "some boolean, none boolean")
+
+
+@query("""SELECT 'pages' AS store, 'done' AS status, count(*) FILTER (contains(url, 'blog') OR contains(url, '/fr/')) AS touched FROM pages
+UNION ALL SELECT 'labels', 'failed', 0
+UNION ALL SELECT 'kept', 'done', count(*) FILTER (NOT contains(url, 'blog') AND NOT contains(url, '/fr/')) FROM pages""")
+def delete_in_stores(t):
+    """Rows that hold any of some words go from several stores, each with its status."""
+    got = tables.delete_where({"pages": t.pages, "labels": t.labels}, "url", ["blog", "/fr/"])
+    kept = got["pages"][0].agg(F.lit("kept").alias("store"), F.lit("done").alias("status"), F.count("*").alias("touched"))
+    return got["pages"][1].unionByName(got["labels"][1]).unionByName(kept)
+
+
+@query("""WITH s AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS first, min(ts) AS started FROM events GROUP BY user_id),
+o AS (SELECT user_id, CASE WHEN first = 'click' THEN 'completed' ELSE 'in_progress' END AS old, started FROM s),
+c AS (
+  SELECT user_id, CASE event_type WHEN 'click' THEN 'stopped' WHEN 'view' THEN 'in_progress' ELSE 'completed' END AS new, ts FROM events),
+f AS (
+  SELECT user_id, arg_min(new, (ts, new)) AS new, min(ts) AS ended FROM c JOIN o USING (user_id)
+  WHERE old = 'in_progress' AND new <> 'in_progress' GROUP BY user_id)
+SELECT user_id, coalesce(new, old) AS status, ended, epoch(ended) - epoch(started) AS seconds FROM o LEFT JOIN f USING (user_id)""")
+def guarded_transitions(t):
+    """Each session takes its first allowed change; a finished one takes none."""
+    e = t.events
+    first = e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first"), F.min("ts").alias("started"))
+    old = first.select("user_id", F.when(F.col("first") == "click", "completed").otherwise("in_progress").alias("status"), "started", F.lit(None).cast(e.schema["ts"].dataType).alias("ended"))
+    new = F.when(F.col("event_type") == "click", "stopped").when(F.col("event_type") == "view", "in_progress").otherwise("completed")
+    return incremental.transition(old, e.select("user_id", new.alias("status"), "ts"), "user_id").select("user_id", "status", "ended", F.col("seconds").cast("double").alias("seconds"))
+
+
+@query("""SELECT source AS folder, count(*) AS current, count(l.doc_id) AS known, CASE WHEN count(l.doc_id) >= count(*) THEN 'skip' ELSE 'process' END AS action
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
+def folder_by_image(t):
+    """X10, the variant that looks at each image."""
+    images = t.documents.select(F.col("source").alias("folder"), F.col("doc_id").alias("path"))
+    return incremental.folder_state_by_image(images, t.labels.select(F.col("doc_id").alias("path")), "folder")
+
+
+@query("""SELECT source AS folder, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents
+WHERE source IN ('src1', 'src2', 'src3') GROUP BY source""")
+def listed_folders(t):
+    """Listed folders that exist and hold an image."""
+    rows = t.documents.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length"))
+    wanted = t.spark.createDataFrame([("src1",), ("src2",), ("src3",), ("nowhere",)], "folder string")
+    return files.listed_folders(wanted, rows)
+
+
 # --- pixels (no SQL) -----------------------------------------------------------------------
 
 
@@ -407,7 +554,7 @@ def _scene(seed: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
 
 @query()
 def template_match(t):
-    """A planted patch is found again."""
+    """A planted patch is found again."""
 
     def run(frames):
         for f in frames:

@@ -17,10 +17,33 @@ FEATURES = "path string, n int, width int, height int, descriptors array<array<f
 
 
 def images(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """All images below root: path, length, modificationTime and, if asked for, content."""
+    """All images below root, in the order of their paths: path, length, modificationTime and, if asked for, content."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = rows.where(paths.extension(F.col("path")).isin(*IMAGES))
-    return rows if content else rows.drop("content")
+    return (rows if content else rows.drop("content")).orderBy("path")
+
+
+def image(spark: SparkSession, path: str | None = None, data: bytes | None = None) -> DataFrame:
+    """One image, from a file or from uploaded bytes: path, content."""
+    if data is not None:
+        return spark.createDataFrame([(path, bytearray(data))], "path string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def ids(rows: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """Vectors (group, pos) with the ids of the array aligned with them. rows: group, ids (array)."""
+    flat = rows.select(group, F.posexplode("ids").alias("pos", "compact_id"))
+    return vectors.join(flat, [group, "pos"], "left")
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a list of keys, each once; Spark sends the list to all tasks only if it is small."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def listed_folders(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """The listed folders (folder) that exist and hold an image, with counts."""
+    return wanted.select("folder").distinct().join(folders(rows), "folder").where("files > 0")
 
 
 def folders(rows: DataFrame) -> DataFrame:
@@ -82,3 +105,8 @@ def listed(text: str, spark: SparkSession) -> DataFrame:
 
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def stream_files(spark: SparkSession, folder: str, schema, most_bytes: str = "256m") -> DataFrame:
+    """Parquet files of a folder as a stream that reads ahead by no more than so many bytes; a query's checkpoint says what was read."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", most_bytes).parquet(folder)

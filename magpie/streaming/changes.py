@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from magpie.operators import tables
+
 
 def reclassify(events: DataFrame, within: float = 0.5) -> DataFrame:
     """A delete whose name turns up in another category within so many seconds is a move. events: ts, kind, name, category."""
@@ -32,22 +34,15 @@ def apply_event(rows: DataFrame, column: str, kind: str, old: str, new: str | No
 def queue(jobs: DataFrame, kept: int = 100) -> DataFrame:
     """First in, first out: positions of waiting jobs and the last results. jobs: job_id, ts, state (queued, running, done).
 
-    Jobs are counted by state and time range, then ranked within their range, so that no state's jobs have to meet in one task.
+    Waiting jobs are numbered by time ranges, so they need not meet in one task; of the finished ones only the last are looked for.
     """
-    spark = jobs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # some 20 rows a range: a bound for the driver; the ends of ranges only balance them
-    share = min(1.0, 20 * ranges / max(1, jobs.count()))
-    some = jobs.select(F.struct("ts", "job_id").alias("at")).sample(share, 1).groupBy().agg(F.sort_array(F.collect_list("at")).alias("at"))
-    ends = some.select(F.filter("at", lambda x, i: i % F.greatest(F.lit(1), F.ceil(F.size("at") / ranges)) == 0).alias("__ends"))
-    placed = jobs.crossJoin(F.broadcast(spark.createDataFrame(ends.collect(), ends.schema)))
-    placed = placed.withColumn("__r", F.size(F.filter("__ends", lambda x: x <= F.struct("ts", "job_id")))).drop("__ends")
-    # states x ranges rows
-    counts = placed.groupBy("state", "__r").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("state").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("state").alias("__s"), F.col("__r").alias("__q"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy("state")).alias("__all"))
-    inside = F.row_number().over(Window.partitionBy("state", "__r").orderBy("ts", "job_id"))
-    out = placed.withColumn("__i", inside).join(F.broadcast(counts), F.col("state").eqNullSafe(F.col("__s")) & (F.col("__r") == F.col("__q")))
-    place = (F.col("__before") + F.col("__i")).cast("int")
-    out = out.withColumn("position", F.when(F.col("state") == "queued", place)).withColumn("__d", F.col("__all") - place + 1)
-    return out.where((F.col("state") != "done") | (F.col("__d") <= kept)).select(*jobs.columns, "position")
+    waiting = tables.numbered(jobs.where("state = 'queued'"), ["ts", "job_id"], name="position")
+    done = jobs.where("state = 'done'").orderBy(F.desc("ts"), F.desc("job_id")).limit(kept)
+    rest = jobs.where("state IS NULL OR state NOT IN ('queued', 'done')").unionByName(done)
+    return waiting.withColumn("position", F.col("position").cast("int")).unionByName(rest.withColumn("position", F.lit(None).cast("int")))
+
+
+def watch(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
+    """New files right below a folder, as a stream: path, length, modificationTime. Further ones are found while it runs."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).load(folder).withWatermark("modificationTime", late).drop("content")

@@ -1,12 +1,9 @@
 """Operators over whole tables, against brute force."""
 
-from itertools import combinations
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from magpie.llm import decontam
 from magpie.operators import knn
 from magpie.plans import registry
 from magpie.plans.fixtures import Tables
@@ -87,21 +84,3 @@ def test_noisy_copies_are_duplicates(spark, t, monkeypatch, block):
     got = {r.vec_id: (r.first_id, r.duplicate) for r in knn.exact_duplicates(made).collect()}
     assert got == {i: (j, i != j) for i, j in want.items()}
     assert all(want[i] == i % 10_000 for i in want if i < 20_000 or i >= 30_000) and sum(i != j for i, j in want.items()) == 40
-
-
-@pytest.mark.parametrize("n", range(1, 15))
-def test_short_items_with_all_changes(n):
-    item = [f"item{i}" for i in range(n)]
-    index = decontam.SeedIndex([(7, " ".join(item))])
-    size = min(n, decontam.WINDOW)
-    # as many changes as the share of equal words allows, and one more
-    allowed = size - -(-10 * size // 13)
-    for gone in range(allowed + 2):
-        for lost in combinations(range(n), gone):
-            if n > size and gone > allowed:
-                continue
-            changed = ["other" if i in lost else x for i, x in enumerate(item)]
-            for before, after in ((0, 0), (3, 0), (0, 2)):
-                found = index.overlaps(decontam.word_hashes(" ".join(["a"] * before + changed + ["b"] * after)))
-                assert bool(found) == (gone <= allowed), (n, lost, before, after)
-    assert not decontam.SeedIndex([(7, "")]).overlaps(decontam.word_hashes("a b"))
