@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +162,7 @@ def resolve(messages: DataFrame) -> DataFrame:
 
 def replies(table: pa.Table, kind: str) -> np.ndarray:
     """A block's replies of one kind, in the order of its keys."""
-    mine = table.filter(pa.compute.equal(table["kind"], kind)).sort_by("bucket")
+    mine = table.filter(pc.equal(table["kind"], kind)).sort_by("bucket")
     return np.concatenate([np.zeros(0, np.uint32), *(unpack(x.as_py()) for x in mine["payload"])])
 
 

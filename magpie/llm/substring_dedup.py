@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .blocks import NOMINATE, SENT, Block, Keys, meet, pack, ranges, replies, resolve, scan, sent, unpack
@@ -83,7 +84,7 @@ def _candidates(block: Block, answers: pa.Table, no: int, cover: Cover, buckets:
 
 
 def _removed(block: Block, answers: pa.Table, window: int) -> pa.Table:
-    state = answers.filter(pa.compute.equal(answers["kind"], "state"))
+    state = answers.filter(pc.equal(answers["kind"], "state"))
     where, inverse, copy = unpack(state["payload"][0].as_py())
     twice = (replies(answers, "window") >> 1) >= 2
     found, done = {}, 0

@@ -19,6 +19,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .blocks import NOMINATE, SENT, SENT_ARROW, Block, Keys, meet, pack, ranges, replies, resolve, scan, sent, spread, unpack
@@ -348,7 +349,7 @@ def _removed(block: Block, answers: pa.Table, window: int, characters: bool) ->
     kinds = set(answers["kind"].to_pylist())
 
     def of(kind: str) -> list:
-        return [unpack(x.as_py()) for x in answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("bucket")["payload"]]
+        return [unpack(x.as_py()) for x in answers.filter(pc.equal(answers["kind"], kind)).sort_by("bucket")["payload"]]
 
     where, copy = of("state")[0]
     starts: dict[int, list[np.ndarray]] = {}
