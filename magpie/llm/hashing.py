@@ -36,18 +36,21 @@ def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 class Powers:
-    """The powers of one multiplier and of its inverse, as many as were needed so far."""
+    """The powers of one multiplier (lower and upper 32 bits) and of its inverse, as many as were needed so far."""
 
     def __init__(self, seed: int):
         r = int(np.random.default_rng(seed).integers(1 << 59, P61))
         self.bases = (r, pow(r, -1, P61))
-        self.up = self.down = np.ones(1, np.uint64)
+        self.low, self.high, self.down = np.ones(1, np.uint32), np.zeros(1, np.uint32), np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
-        while len(self.up) <= n:
-            m = len(self.up)
-            self.up, self.down = (np.concatenate([x, times(x, np.uint64(pow(base, m, P61)))]) for x, base in zip((self.up, self.down), self.bases, strict=True))
-            self.low, self.high = self.up & _M32, self.up >> _S32
+        while len(self.low) <= n:
+            m = len(self.low)
+            up, down = (np.uint64(pow(base, m, P61)) for base in self.bases)
+            more = times(self.low.astype(np.uint64) | (self.high.astype(np.uint64) << _S32), up)
+            self.low = np.concatenate([self.low, (more & _M32).astype(np.uint32)])
+            self.high = np.concatenate([self.high, (more >> _S32).astype(np.uint32)])
+            self.down = np.concatenate([self.down, times(self.down, down)])
 
 
 POWERS = (Powers(1201), Powers(3307))
@@ -105,18 +108,22 @@ class Modular:
 
 _BYTES = np.random.default_rng(911).integers(0, _M, 256, dtype=np.uint64, endpoint=True)
 _ODD = 0x9E3779B97F4A7C15
-_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * LONGEST, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+_TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all byte windows of one size (at most ``LONGEST``), to nominate candidates."""
+    need = min(len(data), LONGEST + size)
+    if len(_TABLES[0]) < need:
+        _TABLES[:] = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(need, 1 << 17), x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    up, down = _TABLES
     parts = []
     for a in range(0, max(len(data) - size + 1, 0), LONGEST):
         x = data[a : a + LONGEST + size - 1]
         sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_BYTES[x] * _UP[: len(x)], out=sums[1:])
+        np.cumsum(_BYTES[x] * up[: len(x)], out=sums[1:])
         n = len(x) - size + 1
-        parts.append(mix((sums[size:] - sums[:n]) * _DOWN[:n]))
+        parts.append(mix((sums[size:] - sums[:n]) * down[:n]))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 

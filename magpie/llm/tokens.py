@@ -20,9 +20,9 @@ import numpy as np
 from .hashing import Modular
 
 #: Parts that the memo holds before it starts anew.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Bytes of text that are looked up at once; a text of more is cut near multiples of it.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
 _CUT = re.compile(rb"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
@@ -32,7 +32,7 @@ class Memo:
     def __init__(self):
         self.n, self.used = 0, 0
         self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.at, self.size = np.zeros(1, np.uint32), np.zeros(1, np.int32)
         self.ids = np.zeros(0, "<u4")
         self.slots = np.full(1 << 16, -1, np.int32)
 
@@ -71,17 +71,17 @@ class Memo:
         for name, new, begin, end in (("one", one, first, self.n), ("two", two, first, self.n), ("at", at, first, self.n), ("size", size, first, self.n), ("ids", ids, used, self.used)):
             held = getattr(self, name)
             if end > len(held):
-                held = np.concatenate([held[:begin], np.zeros(max(end, 3 * len(held) // 2) - begin, held.dtype)])
+                held = np.concatenate([held[:begin], np.zeros(max(end, 5 * len(held) // 4) - begin, held.dtype)])
                 setattr(self, name, held)
             held[begin:end] = new
-        if 2 * self.n > len(self.slots):
-            self.slots = np.full(1 << int(4 * self.n - 1).bit_length(), -1, np.int32)
+        if 3 * self.n > 2 * len(self.slots):
+            self.slots = np.full(2 * len(self.slots) if self.n < len(self.slots) else 1 << int(2 * self.n).bit_length(), -1, np.int32)
             first = 0
         self._place(first)
 
     def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some entries one after the other, and where each entry's begin (with the end)."""
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         return self.ids[np.repeat(self.at[entry] - edge[:-1], size) + np.arange(edge[-1])], edge
 

@@ -130,7 +130,6 @@ def test_tokens_and_shards(odd, none, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.byte_bpe())
-    t.encode_special_tokens = True
     r = random.Random(2)
     texts = ["".join(r.choices(["a", " ", "\n", "é", "'s", "1", "the ", "\t", "<|endoftext|>", "日本"], k=r.randint(0, 25))) for _ in range(3000)]
     got = list(tokens.Encoder(tokens.byte_bpe()).encode(texts))
