@@ -158,18 +158,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> Data
     return docs.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary").withColumn("ids_crc32", F.crc32("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, unit: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int = 2048, unit: int = 8, with_ids: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most length tokens.
 
     docs: doc_id, text; other columns are ignored. Returns one row per piece: doc_id, start,
-    length, doc_tokens, ids (binary, unsigned 32-bit, little-endian), ids_crc32, sequence_id and
-    offset (place in the sequence, gapless from 0). A null or empty text is its end id alone;
+    length, doc_tokens, ids (binary, unsigned 32-bit, little-endian; unless with_ids is false),
+    ids_crc32, sequence_id and offset (place in the sequence, gapless from 0). A null or empty text is its end id alone;
     repeated rows are packed as often as they come; an empty table has no pieces.
     """
     spark = docs.sparkSession
     ship(spark)
-    pieces = save(token_pieces(docs, tokenizer, end, length), "pieces")
-    classed = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
+    # numbered in the written table, so the numbers stay; the ids themselves wait there until the places are known
+    pieces = save(token_pieces(docs, tokenizer, end, length).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    classed = pieces.drop("ids").withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     capacity = length // unit
     # one row per class, whatever the corpus
     demand = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
@@ -182,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int =
     places = spark.createDataFrame(rows, "class int, lo long, hi long, copies long, base long")
     # ranks within a class: by bucket, so that no class meets in one task
     classed = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(fanout(spark))).cast("int"))
-    inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32"))
+    inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "piece"))
     counts = classed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = save(counts.select("class", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "ranks")
@@ -192,4 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int =
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - lo) div copies"))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    return placed.select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "sequence_id", "offset")
+    columns = ["doc_id", "start", "length", "doc_tokens", *(["ids"] if with_ids else []), "ids_crc32", "sequence_id", "offset"]
+    if with_ids:
+        placed = placed.join(pieces.select("piece", "ids"), "piece")
+    return placed.select(columns)

@@ -48,7 +48,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    got = pack_documents(_table(spark, sf_dir, "documents"), byte_bpe(), end=1, length=2048)
+    got = pack_documents(_table(spark, sf_dir, "documents"), byte_bpe(), end=1, length=2048, with_ids=False)
     return got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
