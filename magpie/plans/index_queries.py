@@ -515,7 +515,7 @@ c AS (
 f AS (
   SELECT user_id, arg_min(new, (ts, new)) AS new, min(ts) AS ended FROM c JOIN o USING (user_id)
   WHERE old = 'in_progress' AND new <> 'in_progress' GROUP BY user_id)
-SELECT user_id, coalesce(new, old) AS status, ended, epoch(ended) - epoch(started) AS seconds FROM o LEFT JOIN f USING (user_id)""")
+SELECT user_id, coalesce(new, old) AS status, ended, date_diff('microsecond', started, ended) / 1e6 AS seconds FROM o LEFT JOIN f USING (user_id)""")
 def guarded_transitions(t):
     """Each session takes its first allowed change; a finished one takes none."""
     e = t.events

@@ -267,7 +267,7 @@ def exact_dup_vectors(t):
 
 
 _GEO = r"""WITH c AS (
-  SELECT l_orderkey AS q, l_linenumber AS prior, l_suppkey % 31 AS inl, l_suppkey % 31 + l_linenumber AS tot, l_quantity AS votes,
+  SELECT l_orderkey AS q, l_linenumber * 10000000 + l_partkey AS prior, l_suppkey % 31 AS inl, l_suppkey % 31 + l_linenumber AS tot, l_quantity AS votes,
     CASE WHEN l_partkey % 11 = 0 THEN 'b-page0.jpg' ELSE 'b-page' || l_partkey || '.jpg' END AS path
   FROM lineitem),
 d AS (SELECT *, CASE WHEN regexp_matches(path, '(^|[-_])page0\.[a-z0-9]+$') THEN votes * 0.5 ELSE votes END AS adj FROM c),
@@ -282,7 +282,7 @@ def geometric_tier_rank(t):
     """O3: tiers by inliers, adjusted votes, equal scores in their prior order."""
     part = F.col("l_partkey")
     path = F.when(part % 11 == 0, F.lit("b-page0.jpg")).otherwise(F.concat(F.lit("b-page"), part.cast("string"), F.lit(".jpg")))
-    c = t.lineitem.select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("prior"), (F.col("l_suppkey") % 31).alias("inliers"), (F.col("l_suppkey") % 31 + F.col("l_linenumber")).alias("total"), F.col("l_quantity").alias("votes"), path.alias("path"))
+    c = t.lineitem.select(F.col("l_orderkey").alias("q"), (F.col("l_linenumber") * F.lit(10_000_000) + part).alias("prior"), (F.col("l_suppkey") % 31).alias("inliers"), (F.col("l_suppkey") % 31 + F.col("l_linenumber")).alias("total"), F.col("l_quantity").alias("votes"), path.alias("path"))
     return rerank.geometric_rank(c, "q").select("q", "prior", F.col("inliers").alias("inl"), "votes", F.col("rerank_score").alias("geo"), "rank")
 
 
