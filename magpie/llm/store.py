@@ -13,12 +13,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text for one key range of an exchange.
 RANGE_BYTES = 8 << 20
+#: Folders of the scratch tables written inside settled().
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -46,6 +50,8 @@ def workdir(spark: SparkSession, name: str) -> str:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return path
 
 
@@ -65,6 +71,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write the result of make() once and delete the scratch tables that it wrote on the way.
+
+    The result is read from its own table, so neither it nor a lost executor needs them again.
+    """
+    written: list[str] = []
+    token = _written.set(written)
+    try:
+        made = make()
+    finally:
+        _written.reset(token)
+    out = save(made, name)
+    for path in written:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del made
+    release(spark)
+    return out
+
+
 def fanout(spark: SparkSession, size: int = 0) -> int:
     """Number of key ranges for an exchange over so many bytes of text: some per shuffle partition, so that they even out, and more for more text."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
