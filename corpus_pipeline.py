@@ -9,7 +9,7 @@ from magpie.llm.decontam import decontaminate
 from magpie.llm.mil_quality import score_quality, train
 from magpie.llm.near_dup import near_duplicates
 from magpie.llm.packing import pack_documents
-from magpie.llm.store import fresh, save
+from magpie.llm.store import fresh, save, settled
 from magpie.llm.suffix_dedup import repeated_bytes
 from magpie.llm.tokens import byte_bpe
 
@@ -33,8 +33,9 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or without words are in no group and stay. Of the rows of one doc_id one stays: that with the
     largest text, then with the largest other columns. An empty table stays empty.
     """
-    gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = settled(spark, lambda: near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct(), "gone")
+    # written, so that Spark knows their number: where they are few, the texts need not be dealt out for them
+    again = save(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     # a null doc_id matches none, so those rows stay
     single = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti")
     place = fresh("place", docs)
@@ -52,10 +53,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     are copies of each other. An empty table stays empty.
     """
     identity, sha, kept = (fresh(x, docs) for x in ("identity", "sha", "kept"))
-    cut = repeated_bytes(docs, window=200, characters=True).where("n_removed > 0")
-    # equal texts lose the same bytes, so rows that share a doc_id are told apart by their texts
-    cut = cut.select(F.col("doc_id").alias(identity), F.col("sha256").alias(sha), F.col("kept").alias(kept)).dropDuplicates([identity, sha])
-    cut = save(cut, "cut")
+
+    def find() -> DataFrame:
+        cut = repeated_bytes(docs, window=200, characters=True).where("n_removed > 0")
+        # equal texts lose the same bytes, so rows that share a doc_id are told apart by their texts
+        return cut.select(F.col("doc_id").alias(identity), F.col("sha256").alias(sha), F.col("kept").alias(kept)).dropDuplicates([identity, sha])
+
+    cut = settled(spark, find, "cut")
     whole = F.sha2(F.col("text").cast("binary"), 256)
     out = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(identity)) & (whole == F.col(sha)), "left")
     changed = F.col(sha).isNotNull()
