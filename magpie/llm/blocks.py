@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fanout, save, text_bytes
+from .store import fanout, save, text_bytes, trim
 
 BLOCK_BYTES = 4 << 20
 SENT = "kind string, bucket int, block long, payload binary"
@@ -171,6 +171,8 @@ def meet(texts: DataFrame, answers: DataFrame, f: Callable[[Block, pa.Table, int
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         # the payload is one row: a block id is written once
-        return f(Block.of(left["payload"][0].as_py()), right, left["block"][0].as_py())
+        out = f(Block.of(left["payload"][0].as_py()), right, left["block"][0].as_py())
+        trim()
+        return out
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, save, ship
+from .store import fresh, save, ship, trim
 
 PASSAGE = 1000
 HIDDEN, ATTENTION, EPOCHS, BATCH = 24, 12, 30, 64
@@ -232,6 +232,7 @@ def score_quality(docs: DataFrame, model: Model, into: str = "score") -> DataFra
                 score.append(shared.value.score([encode((t.as_py() or "").encode()) for t in texts[k : k + 200]]))
             at = batch.schema.get_field_index(into)
             yield batch.set_column(at, into, pa.array(np.concatenate([np.zeros(0), *score])))
+        trim()
 
     wide = docs.withColumn(whole, F.col("text").cast("string")).withColumn(into, F.lit(0.0))
     return wide.mapInArrow(run, wide.schema).drop(whole)

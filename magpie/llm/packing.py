@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import fanout, save, ship
+from .store import fanout, save, ship, trim
 from .tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]
@@ -153,6 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> Data
                     for column, value in zip(rows, (i, a // 4, len(piece) // 4, len(ids) // 4, piece), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+        trim()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary").withColumn("ids_crc32", F.crc32("ids"))
@@ -180,7 +181,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, length: int =
             rows.append((k, seen[k], seen[k] + n * times, n, base))
             seen[k] += n * times
         base += times
-    places = spark.createDataFrame(rows, "class int, lo long, hi long, copies long, base long")
+    # from Arrow: rows as a list would start Python workers of a second kind, which stay
+    schema = pa.schema([("class", pa.int32()), *((x, pa.int64()) for x in ("lo", "hi", "copies", "base"))])
+    places = spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema))
     # ranks within a class: by bucket, so that no class meets in one task
     classed = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(fanout(spark))).cast("int"))
     inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "piece"))

@@ -8,6 +8,7 @@ executors. The folder is only chosen here when a local session has none (tests).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -16,6 +17,7 @@ import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,14 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return out
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the system: workers are used again, and keep their largest size otherwise."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def fanout(spark: SparkSession, size: int = 0) -> int:
     """Number of key ranges for an exchange over so many bytes of text: some per shuffle partition, so that they even out, and more for more text."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
